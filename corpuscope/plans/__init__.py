@@ -1 +1,9 @@
+"""Registered queries; ``load_all`` imports every plan module."""
 
+import importlib
+import pkgutil
+
+
+def load_all() -> None:
+    for module in pkgutil.iter_modules(__path__):
+        importlib.import_module(f"{__name__}.{module.name}")
