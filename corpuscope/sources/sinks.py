@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,17 +42,11 @@ def index_projects(files: DataFrame, folder: str, strict: bool = False, dim: int
         "code_references": references_of(files, items, strict),
         "chunks": attach_embeddings(chunk_files(files, items, strict), **embedded),
     }
-    projects = files.select("project_id").distinct()
+    # the old index of these projects goes first, also in tables where a new
+    # version has no rows any more
+    purge_projects(spark, folder, files)
     for name in TABLES:
-        target = os.path.join(folder, name)
-        write_partitions(outputs[name], target)
-        # a project that no longer yields rows of a table loses its old ones
-        _drop_empty(spark, target, projects, outputs[name])
-
-
-def _drop_empty(spark: SparkSession, target: str, projects: DataFrame, written: DataFrame) -> None:
-    empty = projects.join(written.select("project_id").distinct(), "project_id", "left_anti")
-    delete_partitions(spark, target, empty)
+        write_partitions(outputs[name], os.path.join(folder, name))
 
 
 def delete_partitions(spark: SparkSession, target: str, projects: DataFrame) -> None:
@@ -85,11 +78,3 @@ def write_results(aggregate: DataFrame, per_question: DataFrame, folder: str) ->
     """SRC-10: aggregate and per-question results as JSON tables."""
     aggregate.write.mode("overwrite").json(os.path.join(folder, "eval_aggregate"))
     per_question.write.mode("overwrite").json(os.path.join(folder, "eval_results"))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-__all__ = ["TABLES", "delete_partitions", "index_projects", "purge_projects", "union_all",
-           "without_projects", "write_partitions", "write_results"]
