@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuscope.functions.text import _c, strip
+from corpuscope.functions.text import _c, let, strip
 
 # Folders, suffixes and names that never enter the corpus.
 IGNORED_DIRECTORIES = (
@@ -139,20 +139,17 @@ def directory_of(path) -> Column:
 
 def segment_suffixes(path) -> Column:
     """Every suffix that starts at a segment: ``a/b/c`` -> a/b/c, b/c, c."""
-    parts = F.split(_c(path), "/")
-    return F.transform(
+    return let(F.split(_c(path), "/"), lambda parts: F.transform(
         F.sequence(F.lit(1), F.size(parts)),
-        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"),
-    )
+        lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
 
 
 def char_suffixes(text) -> Column:
     """Every non-empty suffix; makes an unaligned ``endswith`` an equi-join."""
-    return F.when(
-        F.length(_c(text)) > 0,
-        F.transform(F.sequence(F.lit(1), F.length(_c(text))),
-                    lambda i: F.substr(_c(text), i)),
-    ).otherwise(F.array().cast("array<string>"))
+    return let(_c(text), lambda whole: F.when(
+        F.length(whole) > 0,
+        F.transform(F.sequence(F.lit(1), F.length(whole)), lambda i: F.substr(whole, i)),
+    ).otherwise(F.array().cast("array<string>")))
 
 
 def fold_dots(path) -> Column:

@@ -18,6 +18,15 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once.
+
+    A plain Column used several times inside a higher-order function is
+    evaluated again for every element; a lambda variable is bound once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text) -> Column:
     return F.btrim(_c(text), F.lit(WHITESPACE))
 

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from corpuscope import params as P
 from corpuscope.functions import grammar as G
 from corpuscope.functions.languages import SYMBOL_LANGUAGES
-from corpuscope.functions.text import is_blank, line_range, split_lines, token_estimate
+from corpuscope.functions.text import is_blank, let, line_range, split_lines, token_estimate
 from corpuscope.operators.lines import lexed_files
 
 BLOCK_TYPE = "array<struct<start:int,end:int,kind:string,name:string,parent:string>>"
@@ -51,12 +51,14 @@ def paragraph_blocks(files: DataFrame, max_lines: int = P.PARAGRAPH_MAX_LINES) -
     return (
         files.select("project_id", "file_id", "path", "language", split_lines("content").alias("lines"))
         .withColumn("ends", ends(F.transform("lines", is_blank)))
-        .withColumn("starts", F.concat(
-            F.array(F.lit(1)), F.transform("ends", lambda e: e + 1)))
+        .withColumn("ranges", F.arrays_zip(
+            F.concat(F.array(F.lit(1)), F.transform(F.slice("ends", F.lit(1), F.greatest(
+                F.size("ends") - 1, F.lit(0))), lambda e: e + 1)).alias("start"),
+            F.col("ends").alias("end")))
         .select(
             "project_id", "file_id", "path", "language", "lines",
-            F.transform("ends", lambda e, i: F.struct(
-                F.element_at("starts", i + 1).alias("start"), e.alias("end"),
+            F.transform(F.filter("ranges", lambda r: r["end"].isNotNull()), lambda r: F.struct(
+                r["start"].alias("start"), r["end"].alias("end"),
                 F.lit("module").alias("kind"),
                 F.lit(None).cast("string").alias("name"),
                 F.lit(None).cast("string").alias("parent"))).cast(BLOCK_TYPE).alias("blocks"),
@@ -70,11 +72,7 @@ def structural_blocks(files: DataFrame, items: DataFrame, strict: bool = False)
     A gap without meaning is dropped; one outside any container is ``imports``
     when all of its lines are blank, comment headers or imports.
     """
-    lexed = lexed_files(files, strict).withColumn(
-        "facts", F.transform(F.arrays_zip("raw", "code"), lambda line: F.struct(
-            G.has_meaning(F.coalesce(line["code"], F.lit("")), F.col("language")).alias("meaning"),
-            G.is_import_like(line["raw"], F.coalesce(line["code"], F.lit("")),
-                             F.col("language")).alias("importish"))))
+    lexed = lexed_files(files, strict).withColumn("pairs", F.arrays_zip("raw", "code"))
     per_file = (
         items.filter(F.col("item").isin("block", "gap"))
         .repartition("file_id")
@@ -90,15 +88,20 @@ def structural_blocks(files: DataFrame, items: DataFrame, strict: bool = False)
         F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("name"),
         F.lit(None).cast("string").alias("parent")))
 
-    def inside(block) -> Column:
-        return F.slice("facts", block["start"], block["end"] - block["start"] + 1)
+    # the patterns only run over lines of gaps
+    def gap_lines(block, test) -> Column:
+        return F.transform(
+            F.slice("pairs", block["start"], block["end"] - block["start"] + 1),
+            lambda line: test(line["raw"], F.coalesce(line["code"], F.lit(""))))
 
     def keep(block) -> Column:
-        return ~block["gap"] | F.exists(inside(block), lambda f: f["meaning"])
+        meaning = gap_lines(block, lambda raw, code: G.has_meaning(code, F.col("language")))
+        return ~block["gap"] | F.exists(meaning, lambda m: m)
 
     def finish(block) -> Column:
         loose = block["gap"] & block["name"].isNull()
-        kind = F.when(loose & F.forall(inside(block), lambda f: f["importish"]), "imports") \
+        imports = gap_lines(block, lambda raw, code: G.is_import_like(raw, code, F.col("language")))
+        kind = F.when(loose & F.forall(imports, lambda m: m), "imports") \
             .when(loose, "module").otherwise(block["kind"])
         return F.struct(block["start"].alias("start"), block["end"].alias("end"), kind.alias("kind"),
                         block["name"].alias("name"), block["parent"].alias("parent"))
@@ -187,21 +190,24 @@ def chunks_from_blocks(
         F.transform("blocks", lambda b: b["end"]),
         F.transform("blocks", lambda b: b["name"].isNotNull())))
 
-    def chunk(piece) -> Column:
-        group = F.slice("blocks", piece["first"], piece["last"] - piece["first"] + 1)
+    def describe(piece, group) -> Column:
         kinds = F.array_distinct(F.transform(group, lambda b: b["kind"]))
         named = F.get(F.filter(group, lambda b: b["name"].isNotNull()), F.lit(0))
-        kind = F.when(piece["part"], "part").when(F.size(kinds) == 1, kinds[0]).otherwise("module")
-        return F.struct(
+        kind = F.when(piece["part"], "part").otherwise(
+            let(kinds, lambda k: F.when(F.size(k) == 1, k[0]).otherwise("module")))
+        return let(named, lambda n: F.struct(
             piece["start"].alias("start_line"), piece["end"].alias("end_line"),
-            kind.alias("chunk_type"), named["name"].alias("symbol"),
-            named["parent"].alias("parent_symbol"),
-            line_range("lines", piece["start"], piece["end"]).alias("content"))
+            kind.alias("chunk_type"), n["name"].alias("symbol"), n["parent"].alias("parent_symbol"),
+            line_range("lines", piece["start"], piece["end"]).alias("content")))
+
+    def chunk(piece) -> Column:
+        group = F.slice("blocks", piece["first"], piece["last"] - piece["first"] + 1)
+        return let(group, lambda g: describe(piece, g))
 
     return (
         planned.select("project_id", "file_id", "path",
-                       F.posexplode(F.transform("plan", chunk)).alias("seq", "chunk"))
-        .filter(~is_blank("chunk.content"))
+                       F.posexplode_outer(F.transform("plan", chunk)).alias("seq", "chunk"))
+        .filter(F.col("chunk").isNotNull() & ~is_blank("chunk.content"))
         .select(
             "project_id", "file_id", "path",
             F.sha2(F.concat_ws(":", "file_id", F.col("seq").cast("string")), 256).alias("chunk_id"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.functions.paths import base_name, citation_key, segment_suffixes
-from corpuscope.functions.text import _c
+from corpuscope.functions.text import _c, let
 
 # ---- fixed values: citation grammars ---------------------------------------
 ANSWER_EXTENSIONS = "java|py|ts|tsx|js|jsx|go|rs|cpp|c|h|cs|rb|php|kt|scala|sh|yml|yaml"
@@ -28,7 +28,7 @@ def _patterns(strict: bool) -> tuple[str, str, str]:
 
 
 def _number(text: Column) -> Column:
-    return F.expr("try_cast(NULL AS INT)") if text is None else F.when(text != "", text.try_cast("int"))
+    return F.when(text != "", text.try_cast("int"))
 
 
 def _pass(text: Column, pattern: str, number: int, ranged: bool) -> Column:
@@ -57,12 +57,15 @@ def citations_of(text, strict: bool = False) -> Column:
     exact = _pass(text, colon, 1, True)
     loose = F.concat(_pass(text, paren, 2, True), _pass(text, tick, 3, False))
 
-    def new(item: Column, i: Column) -> Column:
-        paths = F.transform(loose, lambda x: x["path"])
-        known = F.transform(exact, lambda x: x["path"])
-        return ~F.array_contains(known, item["path"]) & (F.array_position(paths, item["path"]) == i + 1)
+    def merge(found: Column) -> Column:
+        known = F.transform(found["exact"], lambda x: x["path"])
+        paths = F.transform(found["loose"], lambda x: x["path"])
+        return let(F.struct(known.alias("known"), paths.alias("paths")), lambda p: F.concat(
+            found["exact"], F.filter(found["loose"], lambda item, i: (
+                ~F.array_contains(p["known"], item["path"])
+                & (F.array_position(p["paths"], item["path"]) == i + 1)))))
 
-    return F.concat(exact, F.filter(loose, new))
+    return let(F.struct(exact.alias("exact"), loose.alias("loose")), merge)
 
 
 def extract_citations(answers: DataFrame, text: str = "answer", strict: bool = False) -> DataFrame:
@@ -132,7 +135,8 @@ def resolve_citations(cited: DataFrame, files: DataFrame) -> DataFrame:
         .withColumn("key", F.replace("cited_path", F.lit("\\"), F.lit("/")))
     probes = asked.select("project_id", "cited_path", F.inline(F.array(
         F.struct(F.lit(1).alias("tier"), F.col("key").alias("key")),
-        F.struct(F.lit(2), F.col("key")), F.struct(F.lit(3), base_name("key")))))
+        F.struct(F.lit(2).alias("tier"), F.col("key").alias("key")),
+        F.struct(F.lit(3).alias("tier"), base_name("key").alias("key")))))
     found = probes.join(_tiers(files), ["project_id", "tier", "key"])
     suffix_hits = F.coalesce(F.max(F.when(F.col("tier") == 2, F.col("hits"))), F.lit(0))
     best = F.min_by(F.struct("tier", "hit", "hits"), "tier")

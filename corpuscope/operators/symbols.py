@@ -72,9 +72,12 @@ def brace_candidates(lines: DataFrame) -> DataFrame:
     depth* is the closing line.
     """
     marked = (
-        with_depth(lines.filter(G._c("language") != "python"))
-        .withColumn("semi", F.col("code").contains(";"))
-        .withColumn("decl", F.when(F.col("line_no") > 0, G.declaration()))
+        # matched below the depth window: a filter cannot push the patterns
+        # through it and evaluate them a second time
+        with_depth(
+            lines.filter(F.col("language") != "python")
+            .withColumn("semi", F.col("code").contains(";"))
+            .withColumn("decl", F.when(F.col("line_no") > 0, G.declaration())))
         .withColumn("moves", (F.col("delta") != 0) | (F.col("line_no") == 0))
         .filter("moves OR semi OR decl IS NOT NULL")
         .select("project_id", "file_id", "language", "n_lines", "line_no", "delta", "depth_before",

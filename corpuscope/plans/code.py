@@ -65,7 +65,7 @@ refs AS MATERIALIZED (
 
 
 def _files(t: Tables) -> DataFrame:
-    return code_files(t.documents)
+    return code_files(t.spread("documents"))
 
 
 def _symbols(files: DataFrame) -> DataFrame:

@@ -16,7 +16,11 @@ ORACLES: dict[str, str] = {}
 
 
 class Tables:
-    """Lazy readers of the driver tables in one folder."""
+    """Lazy readers of the driver tables in one folder.
+
+    ``spread`` is for CPU-heavy scans: a table stored in fewer files than
+    there are cores is spread once, any larger one keeps its own splits.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -24,6 +28,12 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        table = getattr(self, name)
+        if len(table.inputFiles()) >= self.spark.sparkContext.defaultParallelism:
+            return table
+        return table.repartition(self.spark.sparkContext.defaultParallelism)
+
 
 def query(name: str, oracle: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
