@@ -90,9 +90,17 @@ def conversation_title(current, first_question) -> Column:
     return F.when(unset, head_chars(strip(first_line), P.TITLE_CHARS)).otherwise(_c(current))
 
 
+def millis(ts) -> Column:
+    """Epoch milliseconds of a timestamp with or without zone (session zone UTC)."""
+    return F.unix_millis(_c(ts).cast("timestamp"))
+
+
 def relative_time(ts, now) -> Column:
     """FN-12: age label; ``now`` is an argument so that runs are repeatable."""
-    minutes = F.floor((F.unix_micros(_c(now)) - F.unix_micros(_c(ts))) / 60_000_000)
+    def micros(value):
+        return F.unix_micros(_c(value).cast("timestamp"))
+
+    minutes = F.floor((micros(now) - micros(ts)) / 60_000_000)
     hours = F.floor(minutes / 60)
     days = F.floor(hours / 24)
     return (

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from corpuscope import params as P
-from corpuscope.functions.text import _c, overall_progress
+from corpuscope.functions.text import _c, millis, overall_progress
+from corpuscope.session import cut_lineage
 
 ACTIVE = ("queued", "processing", "ready")
 TERMINAL = ("ready", "error", "cancelled")
@@ -149,7 +150,7 @@ def compress_events(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
     enqueue, cancel or completion is a no-op.  Runs are found per (job,
     bucket), so one busy job is spread over its buckets.
     """
-    bucketed = events.withColumn("_bucket", F.floor(F.unix_millis("ts") / (1000 * bucket_seconds)))
+    bucketed = events.withColumn("_bucket", F.floor(millis("ts") / (1000 * bucket_seconds)))
     order = W.partitionBy("job_id", "_bucket").orderBy("ts", "event_id")
     following, earlier = F.lead("event").over(order), F.lag("event").over(order)
     beat = (F.col("event") == "heartbeat") & (F.coalesce("_next", F.lit("")) == "heartbeat")
@@ -165,7 +166,7 @@ def fold_job_events(events: DataFrame, max_attempts: int = P.JOB_MAX_ATTEMPTS,
     After :func:`compress_events` a job holds its lifecycle transitions only;
     they are folded in order inside the JVM.
     """
-    step = F.struct(F.unix_millis("ts").alias("ms"), "event_id", "event", F.coalesce("percent", F.lit(0)).alias("percent"))
+    step = F.struct(millis("ts").alias("ms"), "event_id", "event", F.coalesce("percent", F.lit(0)).alias("percent"))
     per_job = compress_events(events).groupBy("job_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     none = F.lit(None).cast("long")
     start = F.struct(
@@ -199,3 +200,100 @@ def fold_job_events(events: DataFrame, max_attempts: int = P.JOB_MAX_ATTEMPTS,
     return per_job.select("job_id", F.aggregate("steps", start, advance).alias("s")).select(
         "job_id", "s.status", "s.attempts", F.col("s.progress").alias("progress_percent"),
         F.timestamp_millis("s.next_run").alias("next_run_at"), F.timestamp_millis("s.locked").alias("locked_at"))
+
+
+#: events a job may hold before it is replayed by rounds instead of folded
+FOLD_MAX_EVENTS = 50_000
+
+
+def job_states(events: DataFrame, max_events: int = FOLD_MAX_EVENTS, **rules) -> DataFrame:
+    """STR-2 for any distribution of events over jobs.
+
+    Ordinary jobs are folded; a job with more than ``max_events`` remaining
+    events never becomes one array but goes through :func:`replay_busy_jobs`.
+    """
+    compressed = compress_events(events)
+    busy = compressed.groupBy("job_id").count().filter(F.col("count") > max_events).select("job_id")
+    if busy.isEmpty():
+        return fold_job_events(events, **rules)
+    quiet = fold_job_events(events.join(busy, "job_id", "left_anti"), **rules)
+    return quiet.unionByName(replay_busy_jobs(events.join(busy, "job_id", "left_semi"), **rules))
+
+
+def _with_last_beat(events: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """Adds ``beat``: the latest heartbeat (ms, event_id, percent) before each event."""
+    cut = events.withColumn("_bucket", F.floor(F.col("ms") / (1000 * bucket_seconds)))
+    own = F.when(F.col("event") == "heartbeat", F.struct("ms", "event_id", "percent"))
+    local = W.partitionBy("job_id", "_bucket").orderBy("ms", "event_id").rowsBetween(W.unboundedPreceding, -1)
+    near = cut.withColumn("_beat", own).withColumn("_near", F.last("_beat", ignorenulls=True).over(local))
+    tops = near.groupBy("job_id", "_bucket").agg(F.max("_beat").alias("_top"))
+    earlier = W.partitionBy("job_id").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.select("job_id", "_bucket", F.last("_top", ignorenulls=True).over(earlier).alias("_far"))
+    return near.join(tops, ["job_id", "_bucket"]).select(
+        *events.columns, F.coalesce("_near", "_far").alias("beat"))
+
+
+def replay_busy_jobs(events: DataFrame, max_attempts: int = P.JOB_MAX_ATTEMPTS,
+                     stale_seconds: int = P.JOB_STALE_SECONDS) -> DataFrame:
+    """STR-2 by rounds: each finds, per job, the first event that changes it.
+
+    A round is a filter and a ``min_by`` over all remaining events, combined
+    before the shuffle, so a job may hold any share of them.  Heartbeats never
+    need a round: an event already carries the latest one before it.  The
+    number of rounds is the number of *effective* transitions of a job.
+    """
+    base = events.select("job_id", "event_id", millis("ts").alias("ms"), "event",
+                         F.coalesce("percent", F.lit(0)).alias("percent"))
+    located = cut_lineage(_with_last_beat(base))
+    moves = located.filter(F.col("event") != "heartbeat").select("job_id", F.struct("ms", "event_id").alias("at"), "event", "beat")
+    none = F.lit(None).cast("long")
+    state = cut_lineage(base.select("job_id").distinct().select(
+        "job_id", F.lit("none").alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("progress"),
+        none.alias("next_run"), none.alias("locked"),
+        F.struct(F.lit(-(2 ** 62)).cast("long").alias("ms"), F.lit(-1).cast("long").alias("event_id")).alias("pos")))
+    status, kind, ms = F.col("status"), F.col("event"), F.col("at.ms")
+    beat_after = F.col("beat").isNotNull() & (F.struct("beat.ms", "beat.event_id") > F.col("pos"))
+    touched = F.when(beat_after, F.greatest("locked", "beat.ms")).otherwise(F.col("locked"))
+    stale = (status == "processing") & (touched < ms - 1000 * stale_seconds)
+    due = (status == "queued") & (F.col("next_run") <= ms)
+    retry = (kind == "fail") & ~status.isin("none", "cancelled") & (F.col("attempts") < max_attempts)
+    error = (kind == "fail") & (status == "processing") & (F.col("attempts") >= max_attempts)
+    rules = {
+        "enqueue": (kind == "enqueue") & (status == "none"),
+        "claim": (kind == "claim") & (due | stale),
+        "complete": (kind == "complete") & (status == "processing"),
+        "cancel": (kind == "cancel") & status.isin("queued", "processing"),
+        "retry": retry, "error": error, "requeue": (kind == "requeue") & stale,
+    }
+    outcome = F.when(F.lit(False), "")
+    for name, rule in rules.items():
+        outcome = outcome.when(F.coalesce(rule, F.lit(False)), name)
+
+    while True:
+        hits = moves.join(state, "job_id").filter(F.col("at") > F.col("pos")).withColumn("outcome", outcome) \
+            .filter("outcome IS NOT NULL")
+        step = F.struct("at", "outcome", F.when((status == "processing") & beat_after, F.col("beat.percent")).alias("percent"))
+        first = hits.groupBy("job_id").agg(F.min_by(step, F.col("at")).alias("step"))
+        o, at = F.col("step.outcome"), F.col("step.at.ms")
+        moved = cut_lineage(state.join(first, "job_id", "left").select(
+            "job_id",
+            F.when(o.isin("enqueue", "retry", "requeue"), "queued").when(o == "claim", "processing")
+            .when(o == "complete", "ready").when(o == "error", "error").when(o == "cancel", "cancelled")
+            .otherwise(status).alias("status"),
+            (F.col("attempts") + F.when(o == "claim", 1).otherwise(0)).alias("attempts"),
+            F.when(o == "complete", 100).otherwise(F.coalesce("step.percent", "progress")).alias("progress"),
+            F.when(o.isin("enqueue", "requeue"), at)
+            .when(o == "retry", at + 1000 * backoff_seconds("attempts")).otherwise(F.col("next_run")).alias("next_run"),
+            F.when(o == "claim", at).when(o.isNull() | (o == "enqueue"), F.col("locked")).alias("locked"),
+            F.coalesce("step.at", "pos").alias("pos"), o.isNotNull().alias("moved")))
+        state = moved.drop("moved")
+        if moved.filter("moved").isEmpty():
+            break
+    last = located.filter(F.col("event") == "heartbeat").groupBy("job_id").agg(
+        F.max(F.struct("ms", "event_id", "percent")).alias("beat"))
+    live = (status == "processing") & beat_after
+    return state.join(last, "job_id", "left").select(
+        "job_id", "status", "attempts",
+        F.when(live, F.col("beat.percent")).otherwise(F.col("progress")).alias("progress_percent"),
+        F.timestamp_millis("next_run").alias("next_run_at"),
+        F.timestamp_millis(F.when(live, F.col("beat.ms")).otherwise(F.col("locked"))).alias("locked_at"))

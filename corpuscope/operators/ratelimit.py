@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope import params as P
+from corpuscope.functions.text import millis
 from corpuscope.session import cut_lineage
 
 _STEP_SCHEMA = "key string, seg int, first_ms long, last_ms long, n long, upto_ms long, anchor_ms long, since long"
@@ -157,7 +158,7 @@ def rate_limit(requests: DataFrame, limits: dict[str, int] | None = None,
     table = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
     limited = requests.filter(F.col("bucket").isNotNull()).select(
         "request_id", F.concat_ws(":", F.col("caller").cast("string"), "bucket").alias("key"), "bucket",
-        F.unix_millis("ts").alias("ms"))
+        millis("ts").alias("ms"))
     laid_out = (
         limited.repartitionByRange("key", "ms", "request_id")
         .sortWithinPartitions("key", "ms", "request_id")
