@@ -89,13 +89,18 @@ def _starts_with_word(text: Column, words, extra: str) -> Column:
     return text.rlike(rf"^(?:{'|'.join(words)})[^\p{{L}}\p{{Nd}}_{extra}]")
 
 
-def _first(text: Column, *rules) -> Column:
-    """First rule that matches wins: rules are (pattern, group, kind)."""
+def _first(text: Column, banned: Column, *rules) -> Column:
+    """First rule that matches wins: rules are (guard, pattern, group, kind).
+
+    A guard is a cheap necessary condition (a byte search) of its pattern, so
+    that most lines never reach a regular expression.
+    """
     out = None
-    for pattern, group, kind in rules:
+    for guard, pattern, group, kind in rules:
         name = F.regexp_extract(text, pattern, group)
         value = F.struct(name.alias("name"), kind.alias("kind"))
-        out = F.when(name != "", value) if out is None else out.when(name != "", value)
+        hit = guard & (name != "") & ~banned
+        out = F.when(hit, value) if out is None else out.when(hit, value)
     return out
 
 
@@ -103,31 +108,33 @@ def declaration(code="code", language="language") -> Column:
     """IDX-4: struct(name, kind) of the declaration on a line, else null."""
     code, language = _c(code), _c(language)
     text = strip(code)
+    call = text.contains("(")
+    statement = _starts_with_word(text, BRACE_STATEMENT_WORDS, ".")
+    a_type = text.contains("class") | text.contains("interface") | text.contains("enum") | text.contains("record")
     java = _first(
-        text,
-        (JAVA_TYPE, 2, F.regexp_extract(text, JAVA_TYPE, 1)),
-        (JAVA_METHOD, 1, F.lit("method")),
+        text, statement,
+        (a_type, JAVA_TYPE, 2, F.regexp_extract(text, JAVA_TYPE, 1)),
+        (call & ~text.endswith(";"), JAVA_METHOD, 1, F.lit("method")),
     )
     script = _first(
-        text,
-        (JS_CLASS, 1, F.lit("class")),
-        (JS_INTERFACE, 1, F.lit("interface")),
-        (JS_FUNCTION, 1, F.lit("function")),
-        (JS_ARROW, 1, F.lit("function")),
-        (JS_OBJECT_ARROW, 1, F.lit("function")),
-        (JS_METHOD, 1, F.lit("method")),
+        text, statement,
+        (text.contains("class"), JS_CLASS, 1, F.lit("class")),
+        (text.contains("interface"), JS_INTERFACE, 1, F.lit("interface")),
+        (text.contains("function"), JS_FUNCTION, 1, F.lit("function")),
+        (text.contains("="), JS_ARROW, 1, F.lit("function")),
+        (text.contains("=>"), JS_OBJECT_ARROW, 1, F.lit("function")),
+        (call & text.endswith("{"), JS_METHOD, 1, F.lit("method")),
     )
-    go = _first(text, (GO_FUNC, 1, F.lit("function")))
-    python = _first(code, (PY_CLASS, 2, F.lit("class")), (PY_DEF, 2, F.lit("function")))
-    brace_statement = _starts_with_word(text, BRACE_STATEMENT_WORDS, ".")
+    go = _first(text, statement, (text.startswith("func"), GO_FUNC, 1, F.lit("function")))
+    python = _first(
+        code, _starts_with_word(text, PY_STATEMENT_WORDS, ""),
+        (code.contains("class"), PY_CLASS, 2, F.lit("class")),
+        (code.contains("def"), PY_DEF, 2, F.lit("function")))
     return (
-        F.when(text == "", F.lit(None))
-        .when(language == "python",
-              F.when(~_starts_with_word(text, PY_STATEMENT_WORDS, ""), python))
-        .when(brace_statement, F.lit(None))
-        .when(language == "java", java)
+        F.when(language == "java", java)
         .when(language.isin(*SCRIPT_LANGUAGES), script)
         .when(language == "go", go)
+        .when(language == "python", python)
     )
 
 
@@ -145,13 +152,15 @@ def import_targets(raw="raw", code="code", language="language") -> Column:
     def every(text, pattern):
         return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
+    nothing = F.array().cast("array<string>")
     found = (
-        F.when(language == "java", every(raw, JAVA_IMPORT))
+        F.when(~raw.contains("import") & ~raw.contains("require"), nothing)
+        .when(language == "java", every(raw, JAVA_IMPORT))
         .when(language.isin(*SCRIPT_LANGUAGES),
               F.concat(every(raw, JS_IMPORT_FROM), every(raw, JS_IMPORT_BARE), every(raw, JS_REQUIRE)))
         .when(language == "go", every(raw, GO_IMPORT))
         .when(language == "python", F.concat(every(code, PY_FROM_IMPORT), every(code, PY_IMPORT)))
-        .otherwise(F.array().cast("array<string>"))
+        .otherwise(nothing)
     )
     return F.filter(F.transform(found, strip), lambda t: t != "")
 
@@ -161,19 +170,15 @@ def call_targets(code="code", language="language") -> Column:
     code, language = _c(code), _c(language)
 
     def calls(pattern, noise, fold):
-        pairs = F.arrays_zip(
-            F.regexp_extract_all(code, F.lit(pattern), F.lit(1)).alias("first"),
-            F.regexp_extract_all(code, F.lit(pattern), F.lit(2)).alias("member"),
-        )
+        # the whole match without blanks and the bracket is the callee text
+        found = F.transform(F.regexp_extract_all(code, F.lit(pattern), F.lit(0)),
+                            lambda m: F.translate(m, " \t\f\r\u000b(", ""))
 
-        def simple(pair):
-            name = F.when(pair["member"] != "", pair["member"]).otherwise(pair["first"])
+        def simple(callee):
+            name = F.substring_index(callee, ".", -1)
             return F.lower(name) if fold else name
 
-        kept = F.filter(pairs, lambda p: ~simple(p).isin(*noise))
-        return F.transform(kept, lambda p: F.when(
-            p["member"] != "", F.concat(p["first"], F.lit("."), p["member"])
-        ).otherwise(p["first"]))
+        return F.filter(found, lambda c: ~simple(c).isin(*noise))
 
     return F.when(~code.contains("("), F.array().cast("array<string>")).when(
         language == "python", calls(PY_CALL, PY_CALL_NOISE, fold=False)

@@ -71,19 +71,24 @@ def brace_candidates(lines: DataFrame) -> DataFrame:
     one before the opener has that depth, and its successor *within the same
     depth* is the closing line.
     """
-    marked = (
-        # matched below the depth window: a filter cannot push the patterns
-        # through it and evaluate them a second time
-        with_depth(
-            lines.filter(F.col("language") != "python")
-            .withColumn("semi", F.col("code").contains(";"))
-            .withColumn("decl", F.when(F.col("line_no") > 0, G.declaration())))
-        .withColumn("moves", (F.col("delta") != 0) | (F.col("line_no") == 0))
+    decl = F.when(F.col("line_no") > 0, G.declaration())
+    facts = F.struct(
+        G.brace_delta("code").alias("delta"), F.col("code").contains(";").alias("semi"), decl.alias("decl"),
+        ((G.brace_delta("code") != 0) | (F.col("line_no") == 0)).alias("moves"))
+    # a one-row generator computes the facts once: a filter on them cannot be
+    # pushed below it.  Only lines that change the depth, hold a semicolon or
+    # declare something matter, and the windows below sort just those, narrow.
+    kept = (
+        lines.filter(F.col("language") != "python")
+        .select("project_id", "file_id", "language", "n_lines", "line_no", "raw", F.inline(F.array(facts)))
         .filter("moves OR semi OR decl IS NOT NULL")
-        .select("project_id", "file_id", "language", "n_lines", "line_no", "delta", "depth_before",
-                "depth_after", "semi", "decl", "moves",
+        .select("project_id", "file_id", "language", "n_lines", "line_no", "delta", "semi", "decl", "moves",
                 F.when(F.col("decl").isNotNull(), signature("raw")).alias("signature"))
     )
+    marked = (
+        kept.withColumn("depth_after", F.sum("delta").over(_up_to_here()).cast("int"))
+        .withColumn("depth_before", F.col("depth_after") - F.col("delta"))
+    )
     same_depth = W.partitionBy(
         "file_id", F.when(F.col("moves"), F.col("depth_after"))).orderBy("line_no")
     return (

@@ -17,6 +17,7 @@ from corpuscope.operators.references import references_of
 from corpuscope.operators.symbols import structure, symbols_of, with_depth
 from corpuscope.plans.derived import CODE_SQL, code_files, words_of
 from corpuscope.plans.registry import Tables, query
+from corpuscope.session import cut_lineage
 
 
 def _quoted(words) -> str:
@@ -68,6 +69,12 @@ def _files(t: Tables) -> DataFrame:
     return code_files(t.spread("documents"))
 
 
+def _index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Symbols and references; the shared items are fixed once."""
+    items = cut_lineage(structure(files))
+    return symbols_of(items), references_of(files, items)
+
+
 def _symbols(files: DataFrame) -> DataFrame:
     return symbols_of(structure(files))
 
@@ -167,8 +174,8 @@ def similar_names(t: Tables) -> DataFrame:
     return G.similar_names(requests, _symbols(_files(t)))
 
 
-def _declared(files: DataFrame) -> DataFrame:
-    return _symbols(files).select("project_id", F.col("name")).distinct().select(
+def _declared(symbols: DataFrame) -> DataFrame:
+    return symbols.select("project_id", F.col("name")).distinct().select(
         F.concat_ws("/", "project_id", "name").alias("request_id"), "project_id", "name")
 
 
@@ -182,7 +189,8 @@ SELECT request_id, position, path, line::INT AS line, from_symbol, to_name, is_d
 def callers(t: Tables) -> DataFrame:
     """Callers of every declared name."""
     files = _files(t)
-    return G.callers(_declared(files), _references(files), files)
+    symbols, refs = _index(files)
+    return G.callers(_declared(symbols), refs, files)
 
 
 CALLEES_SQL = REFERENCES_SQL + """,
@@ -210,9 +218,8 @@ def _class_candidates(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def callees(t: Tables) -> DataFrame:
     """Callees of every class."""
     files = _files(t)
-    items = structure(files)
-    symbols = symbols_of(items)
-    return G.callees(_class_candidates(files, symbols), references_of(files, items), symbols)
+    symbols, refs = _index(files)
+    return G.callees(_class_candidates(files, symbols), refs, symbols)
 
 
 @query("symbol_notes", f"""WITH {CALLEES_SQL},
@@ -225,8 +232,7 @@ SELECT f.request_id, n_candidates, coalesce(d.n, 0) AS n_dynamic, coalesce(u.n,
 FROM found f LEFT JOIN d USING (request_id) LEFT JOIN u USING (request_id)""")
 def symbol_notes(t: Tables) -> DataFrame:
     files = _files(t)
-    items = structure(files)
-    symbols, refs = symbols_of(items), references_of(files, items)
+    symbols, refs = _index(files)
     candidates = _class_candidates(files, symbols)
     requests = candidates.select("request_id", "project_id", "name").distinct()
     return G.honesty_notes(requests, candidates, G.callers(requests, refs, files),
@@ -260,8 +266,8 @@ WHERE f.kind = 'call' GROUP BY f.path""")
 def call_edges(t: Tables) -> DataFrame:
     """All call edges, summed per file."""
     files = _files(t)
-    items = structure(files)
-    edges = G.call_edges(references_of(files, items), symbols_of(items), files)
+    symbols, refs = _index(files)
+    edges = G.call_edges(refs, symbols, files)
     return edges.groupBy("path").agg(
         F.count("*").alias("calls"), F.count_if("resolved").alias("resolved"),
         F.sum("candidates").alias("candidates"), F.count_if("is_dynamic").alias("dynamic_calls"))
@@ -303,9 +309,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY caller_path)
 SELECT path, caller_path, position FROM ranked WHERE position <= 20""")
 def referenced_by(t: Tables) -> DataFrame:
     files = _files(t)
-    items = structure(files)
-    found = G.referenced_by(files.select("project_id", "file_id"), references_of(files, items),
-                            symbols_of(items), files)
+    symbols, refs = _index(files)
+    found = G.referenced_by(files.select("project_id", "file_id"), refs, symbols, files)
     return found.join(files.select("file_id", "path"), "file_id").select("path", "caller_path", "position")
 
 
