@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from corpuscope.operators.chunking import attach_embeddings, chunk_files
 from corpuscope.operators.references import references_of
 from corpuscope.operators.symbols import structure, symbols_of
+from corpuscope.schemas import CHUNKS, FILES, REFERENCES, SYMBOLS
 from corpuscope.session import cut_lineage
 
-TABLES = ("files", "chunks", "code_symbols", "code_references")
+SCHEMAS = {"files": FILES, "chunks": CHUNKS, "code_symbols": SYMBOLS, "code_references": REFERENCES}
+TABLES = tuple(SCHEMAS)
+
+
+def read_index(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """An index table with its declared schema (also when it holds no rows)."""
+    return spark.read.schema(SCHEMAS[name]).parquet(os.path.join(folder, name))
 
 
 def write_partitions(df: DataFrame, folder: str) -> None:
