@@ -188,7 +188,19 @@ def call_targets(code="code", language="language") -> Column:
 def is_dynamic_line(code="code", language="language") -> Column:
     """IDX-13: line-level flag for calls that cannot be resolved statically."""
     code = _c(code)
-    return F.when(_c(language) == "python", code.rlike(PY_DYNAMIC)).otherwise(code.rlike(BRACE_DYNAMIC))
+
+    def any_of(*words):
+        out = code.contains(words[0])
+        for word in words[1:]:
+            out = out | code.contains(word)
+        return out
+
+    # byte searches that every alternative needs, before the pattern itself
+    brace = any_of("]", "?", "eval", ".apply", ".call", "Function", "forName", ".invoke", ".getMethod",
+                   ".getDeclaredMethod", "newInstance", "method_missing")
+    python = any_of("attr", "eval", "exec", "globals", "locals", "apply", "import_module")
+    return F.when(_c(language) == "python", python & code.rlike(PY_DYNAMIC)).otherwise(
+        brace & code.rlike(BRACE_DYNAMIC))
 
 
 def is_import_like(raw="raw", code="code", language="language") -> Column:

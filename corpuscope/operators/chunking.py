@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -257,6 +256,9 @@ def hashing_model(dim: int = P.EMBED_DIM):
 def attach_embeddings(chunks: DataFrame, make_model=None, dim: int = P.EMBED_DIM,
                       batch_size: int = P.EMBED_BATCH) -> DataFrame:
     """IDX-19: batched model calls, one vector per chunk, aligned by row."""
+    # imported here: Python workers load this module for the planner alone
+    from pyspark.ml.functions import predict_batch_udf
+
     embed = predict_batch_udf(
         make_model or hashing_model(dim),
         return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuscope.functions.languages import BRACE_LANGUAGES, SYMBOL_LANGUAGES, language_of
+from corpuscope.functions.languages import SYMBOL_LANGUAGES, language_of
 from corpuscope.functions.text import content_md5, split_lines
 
 _STRING = r"""(?P<q>["'{tick}])(?:\\[^\n]|(?!(?P=q))[^\\\n])*(?:(?P=q)|\\?(?=\n|\Z))"""
@@ -79,7 +79,7 @@ def _lexer(strict: bool):
                     masks.append(_docstring_lines(text))
                 else:
                     code.append(_blank_brace(text))
-                    masks.append(None)
+                    masks.append([])
             yield pd.DataFrame({"code": code, "docstring": masks})
 
     return lex
@@ -128,28 +128,15 @@ def lexed_files(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def code_lines(files: DataFrame, strict: bool = False) -> DataFrame:
-    """One row per line with ``raw``, ``code``, ``in_docstring``.
-
-    Line 0 is a virtual empty first line: it carries the file's opening brace
-    depth, which the block-end window needs.
-    """
+    """One row per line with ``raw``, ``code``, ``in_docstring``."""
     lexed = lexed_files(files, strict)
-    head = F.array(F.lit(""))
     return lexed.select(
         "project_id", "file_id", "path", "language",
         F.size("raw").alias("n_lines"),
-        F.posexplode(F.arrays_zip(
-            F.concat(head, F.col("raw")).alias("raw"),
-            F.concat(head, F.col("code")).alias("code"),
-            F.concat(F.array(F.lit(False)), F.coalesce("docstring", F.array().cast("array<boolean>"))).alias("doc"),
-        )).alias("line_no", "line"),
-    ).filter("line_no <= n_lines").select(
-        "project_id", "file_id", "path", "language", "n_lines", "line_no",
+        F.posexplode(F.arrays_zip("raw", "code", F.col("docstring").alias("doc"))).alias("pos", "line"),
+    ).filter("pos < n_lines").select(
+        "project_id", "file_id", "path", "language", "n_lines", (F.col("pos") + 1).alias("line_no"),
         F.col("line.raw").alias("raw"),
         F.coalesce("line.code", F.lit("")).alias("code"),
         F.coalesce("line.doc", F.lit(False)).alias("in_docstring"),
     )
-
-
-def is_brace_language(language="language"):
-    return F.col(language).isin(*BRACE_LANGUAGES)

@@ -67,14 +67,12 @@ def brace_candidates(lines: DataFrame) -> DataFrame:
 
     ``event_*`` is the first line at or after the header that changes the depth
     or holds a semicolon.  If it opens a body, ``body_end`` is the next line
-    that comes back to the header's depth: among the depth-changing lines, the
-    one before the opener has that depth, and its successor *within the same
-    depth* is the closing line.
+    that comes back to the depth before it: an opener joins the lines of that
+    depth as a row of its own, and its successor there is the closing line.
     """
-    decl = F.when(F.col("line_no") > 0, G.declaration())
     facts = F.struct(
-        G.brace_delta("code").alias("delta"), F.col("code").contains(";").alias("semi"), decl.alias("decl"),
-        ((G.brace_delta("code") != 0) | (F.col("line_no") == 0)).alias("moves"))
+        G.brace_delta("code").alias("delta"), F.col("code").contains(";").alias("semi"),
+        G.declaration().alias("decl"), (G.brace_delta("code") != 0).alias("moves"))
     # a one-row generator computes the facts once: a filter on them cannot be
     # pushed below it.  Only lines that change the depth, hold a semicolon or
     # declare something matter, and the windows below sort just those, narrow.
@@ -85,20 +83,30 @@ def brace_candidates(lines: DataFrame) -> DataFrame:
         .select("project_id", "file_id", "language", "n_lines", "line_no", "delta", "semi", "decl", "moves",
                 F.when(F.col("decl").isNotNull(), signature("raw")).alias("signature"))
     )
+    # a line with a semicolon only ends headers that neither open a body nor
+    # close on their own line; most files have none, and then it is not needed
+    open_header = F.col("decl").isNotNull() & ~F.col("moves") & ~F.col("semi")
     marked = (
         kept.withColumn("depth_after", F.sum("delta").over(_up_to_here()).cast("int"))
+        .withColumn("open_headers", F.max(open_header).over(W.partitionBy("file_id")))
+        .filter("moves OR decl IS NOT NULL OR open_headers")
         .withColumn("depth_before", F.col("depth_after") - F.col("delta"))
     )
-    same_depth = W.partitionBy(
-        "file_id", F.when(F.col("moves"), F.col("depth_after"))).orderBy("line_no")
+    opens = F.col("delta") > 0
+    # (level, self): an opener counts at both of its depths, others at the depth after
+    roles = F.when(opens, F.array(
+        F.struct(F.col("depth_before").alias("level"), F.lit(True).alias("self")),
+        F.struct(F.col("depth_after").alias("level"), F.lit(False).alias("self")),
+    )).otherwise(F.array(F.struct(
+        F.when(F.col("moves"), F.col("depth_after")).alias("level"), F.lit(True).alias("self"))))
+    same_depth = W.partitionBy("file_id", "level").orderBy("line_no")
     return (
-        marked
+        marked.select("*", F.inline(roles))
         .withColumn("next_same", F.lead("line_no").over(same_depth))
-        .withColumn("before", F.last(
-            F.when(F.col("moves"), F.struct("next_same")), ignorenulls=True).over(_before()))
+        .filter("self")
         .withColumn("event", F.last(
-            F.when((F.col("line_no") > 0) & ((F.col("delta") != 0) | F.col("semi")),
-                   F.struct("line_no", "delta", "semi", F.col("before.next_same").alias("body_end"))),
+            F.when((F.col("delta") != 0) | F.col("semi"),
+                   F.struct("line_no", "delta", "semi", F.col("next_same").alias("body_end"))),
             ignorenulls=True).over(_from_here()))
         .filter("decl IS NOT NULL")
         .select(
@@ -122,7 +130,7 @@ def indent_candidates(lines: DataFrame) -> DataFrame:
     run_start = F.col("decorator") & ~F.coalesce(F.lag("decorator").over(_file()), F.lit(False))
     tail = F.element_at(F.split(F.col("code"), ":"), -1)
     return (
-        lines.filter((F.col("language") == "python") & (F.col("line_no") > 0))
+        lines.filter(F.col("language") == "python")
         .withColumn("decorator", F.col("code").rlike(G.PY_DECORATOR))
         .withColumn("run_text", F.when(run_start, signature("raw")))
         .withColumn("run", F.struct(
