@@ -98,8 +98,14 @@ def _drain(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
     def append(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{root}/out")
 
-    stream.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", f"{root}/checkpoint") \
-        .trigger(availableNow=True).start().awaitTermination()
+    # a replay of one table: state partitions beyond the cores only cost start-up
+    partitions = t.spark.conf.get("spark.sql.shuffle.partitions")
+    t.spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), t.spark.sparkContext.defaultParallelism)))
+    try:
+        stream.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", f"{root}/checkpoint") \
+            .trigger(availableNow=True).start().awaitTermination()
+    finally:
+        t.spark.conf.set("spark.sql.shuffle.partitions", partitions)
     return t.spark.read.parquet(f"{root}/out")
 
 
