@@ -76,7 +76,7 @@ class A {
   }
 }
 """
-GO = 'package m\r\nimport "fmt"\r\nfunc (d *D) Run(a int) {\r\n\tfmt.Println(a)\r\n}\r\n'
+GO = 'package m\r\nimport "fmt"\r\nfunc (d *D) Run(a int) {\r\n\tfmt.Sprint(a)\r\n}\r\n'
 
 
 @pytest.fixture(scope="module")
@@ -222,7 +222,7 @@ def test_symbol_queries(corpus, spark):
     assert _rows(calls, "request_id", "path", "line", "to_name") == {
         (1, "w/a.tsx", 5, "foo"), (3, "a/b/Foo.java", 13, "util.run"), (3, "x/k.py", 9, "run")}
     inside = G.callees(hits, refs, symbols)
-    assert _rows(inside.filter("request_id = 3"), "to_name", "resolved") == {("fmt.Println", False)}
+    assert _rows(inside.filter("request_id = 3"), "to_name", "resolved") == {("fmt.Sprint", False)}
     notes = {r.request_id: r.notes for r in G.honesty_notes(asked, hits, calls, inside).collect()}
     assert notes[2][0].startswith("No declared symbol") and "Multiple declarations" in notes[1][-1]
     linked = G.referenced_by(files.select("project_id", "file_id"), refs, symbols, files).join(files.select("file_id", "path"), "file_id")
