@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import toxicity, urls
+from corpuscope.llm import packing, substrings, suffixes, toxicity, urls
 from corpuscope.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,19 @@ def register(fn):
     return fn
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a vocabulary file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register
+def op2_substrings(table) -> DataFrame:
+    cut = substrings.dedup_substrings(table("documents").select("doc_id", "text"), with_text=False)
+    return cut.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")
+
+
 @register
 def op3_toxicity(table) -> DataFrame:
     scored = toxicity.score_toxicity(table("documents").select("doc_id", "text"), table("labels"))
@@ -38,3 +51,14 @@ def op4_urls(table) -> DataFrame:
 
 
 ORACLES["op4_urls"] = urls.ORACLE
+
+
+@register
+def op5_packing(table) -> DataFrame:
+    return packing.pack_documents(table("documents"), tokenizer_path())
+
+
+@register
+def op9_suffixes(table) -> DataFrame:
+    cut = suffixes.dedup_suffixes(table("documents").select("doc_id", "text"), keep_first=False, with_text=False)
+    return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
