@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import packing, substrings, suffixes, toxicity, urls
+from corpuscope.llm import packing, substrings, suffixes, superminhash, toxicity, urls
 from corpuscope.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,8 @@ def op5_packing(table) -> DataFrame:
 def op9_suffixes(table) -> DataFrame:
     cut = suffixes.dedup_suffixes(table("documents").select("doc_id", "text"), keep_first=False, with_text=False)
     return cut.select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+@register
+def op10_superminhash(table) -> DataFrame:
+    return superminhash.group_duplicates(table("documents"), percent=85)

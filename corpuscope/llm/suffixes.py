@@ -25,7 +25,9 @@ class SuffixOrder:
         n = self.size = len(symbols)
         padded = np.concatenate((symbols.astype(np.uint64), np.zeros(4, np.uint64)))
         first = sum(padded[j:n + j] << np.uint64(16 * (3 - j)) for j in range(4))
-        self.ranks = [(4, np.unique(first, return_inverse=True)[1].astype(np.int64))]
+        # a rank is the first slot of the suffixes that are equal so far
+        self.live = np.arange(n)
+        self.ranks = [(4, self._refined(np.zeros(n, np.int64), first))]
         reach = 4
         while reach * 2 <= depth:
             self.ranks.append((reach * 2, self._joined(self.ranks[-1][1], reach)))
@@ -34,9 +36,26 @@ class SuffixOrder:
         self.order = np.argsort(rank, kind="stable")
 
     def _joined(self, rank: np.ndarray, shift: int) -> np.ndarray:
+        """Ranks ``shift`` symbols deeper; only suffixes that still have an equal are sorted."""
         second = np.zeros(self.size, np.int64)
         second[:self.size - shift] = rank[shift:] + 1
-        return np.unique(rank * (self.size + 2) + second, return_inverse=True)[1].astype(np.int64)
+        return self._refined(rank, rank[self.live] * (self.size + 2) + second[self.live])
+
+    def _refined(self, rank: np.ndarray, key: np.ndarray) -> np.ndarray:
+        out = rank.copy()
+        if not len(key):
+            return out
+        order = np.argsort(key)
+        key, live = key[order], self.live[order]
+        group = rank[live]
+        head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        slot = group + np.arange(len(live)) - np.repeat(head, np.diff(np.append(head, len(live))))
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        at = np.flatnonzero(new)
+        size = np.diff(np.append(at, len(live)))
+        out[live] = np.repeat(slot[at], size)
+        self.live = live[np.repeat(size > 1, size)]
+        return out
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix of two suffixes, by equal ranks from deep to shallow."""
