@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import packing, substrings, suffixes, superminhash, toxicity, urls
+from corpuscope.llm import brown, packing, substrings, suffixes, superminhash, toxicity, urls
 from corpuscope.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,8 @@ def op9_suffixes(table) -> DataFrame:
 @register
 def op10_superminhash(table) -> DataFrame:
     return superminhash.group_duplicates(table("documents"), percent=85)
+
+
+@register
+def op8_brown(table) -> DataFrame:
+    return brown.score_texts(table("documents"))
