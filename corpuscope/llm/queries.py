@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import brown, packing, substrings, suffixes, superminhash, toxicity, urls
+from corpuscope.llm import brown, hnsw, packing, substrings, suffixes, superminhash, toxicity, urls
 from corpuscope.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,8 @@ def op10_superminhash(table) -> DataFrame:
 @register
 def op8_brown(table) -> DataFrame:
     return brown.score_texts(table("documents"))
+
+
+@register
+def op7_hnsw(table) -> DataFrame:
+    return hnsw.link_vectors(table("embeddings"))
