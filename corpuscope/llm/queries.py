@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import brown, hnsw, packing, substrings, suffixes, superminhash, toxicity, urls
+from corpuscope.llm import brown, decontaminate, hnsw, licenses, packing, substrings, suffixes, superminhash, toxicity, urls
 from corpuscope.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,11 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@register
+def op1_decontaminate(table) -> DataFrame:
+    return decontaminate.find_leaks(table("documents"), table("benchmark"))
+
+
 @register
 def op2_substrings(table) -> DataFrame:
     cut = substrings.dedup_substrings(table("documents").select("doc_id", "text"), with_text=False)
@@ -77,3 +82,8 @@ def op8_brown(table) -> DataFrame:
 @register
 def op7_hnsw(table) -> DataFrame:
     return hnsw.link_vectors(table("embeddings"))
+
+
+@register
+def op6_licenses(table) -> DataFrame:
+    return licenses.scan_licenses(table("documents"))
