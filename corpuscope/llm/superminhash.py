@@ -227,10 +227,12 @@ def group_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = STAR
             mixed = marked.join(heads.select("bucket"), "bucket")
             sizes = mixed.groupBy("bucket", "label").agg(F.count("*").alias("m"))
             main = sizes.groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-            rest = mixed.join(main, "bucket").where("label <> main").withColumnRenamed("id", "a")
-            others = mixed.select("bucket", F.col("id").alias("b"), F.col("label").alias("b_label"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
-            pairs = rest.join(others, (rest["bucket"] == others["bucket"]) & (F.col("label") != F.col("b_label"))
-                              & ((F.col("b_label") == F.col("main")) | (F.col("a") < F.col("b"))) & near).select("a", "b").distinct()
+            # a class against the other components it meets, then once against each of their members
+            rest = mixed.join(main, "bucket").where("label <> main").select("bucket", "id", "label", "n", "c", "main")
+            met = rest.join(sizes.select("bucket", F.col("label").alias("b_label")), "bucket").where(
+                "label <> b_label AND (b_label = main OR label < b_label)").select(F.col("id").alias("a"), "n", "c", "b_label").distinct()
+            members = marked.select(F.col("id").alias("b"), F.col("label").alias("member_of"), F.col("n").alias("b_n"), F.col("c").alias("b_c")).distinct()
+            pairs = met.join(members, (F.col("b_label") == F.col("member_of")) & near).select("a", "b")
         found = cut_lineage(verify(pairs, texts, percent))
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
