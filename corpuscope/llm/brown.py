@@ -263,7 +263,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, block_bytes: int = BLOCK_
             yield pa.RecordBatch.from_arrays([pa.array([sum(batch["v"].to_pylist())]), *(pa.array([share(c)(batch).tobytes()], pa.binary()) for c in ("types", "tokens"))], names=["v", "types", "tokens"])
 
     folded = totals.coalesce(1 + blocks // 64).mapInArrow(add, "v long, types binary, tokens binary").toArrow()
-    vocabulary, types, rare_tokens = sum(folded["v"].to_pylist()), share("types")(folded), share("tokens")(folded)
+    vocabulary, types, rare_tokens = sum(folded["v"].to_pylist()) + (tokens > 0), share("types")(folded), share("tokens")(folded)
 
     def listed(batches):
         for row in _blocks(batches):

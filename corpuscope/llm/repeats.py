@@ -77,7 +77,7 @@ class Segments:
             self.edges = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         self.rolling = A.Rolling(symbols)
         self.at = self.many = self.doc = np.zeros(0, np.int64)
-        self.value = self.hash = np.zeros(0, np.uint64)
+        self.value = self.hash = self.grams = np.zeros(0, np.uint64)
         room = np.diff(self.edges) - spec.length + 1
         rows = np.flatnonzero(room > 0)
         if not len(rows):
@@ -98,9 +98,11 @@ class Segments:
 
     def twice(self) -> np.ndarray:
         """Segments that hold their anchor more than once, so may repeat within themselves."""
+        if not len(self.at):
+            return np.zeros(0, bool)
         reach = self.many + self.spec.width - 1
         same = self.grams[A.ranges(self.at, reach)] == np.repeat(self.value, reach)
-        return np.add.reduceat(same, np.concatenate(([0], np.cumsum(reach)[:-1])), dtype=np.int64) > 1 if len(reach) else np.zeros(0, bool)
+        return np.add.reduceat(same, np.concatenate(([0], np.cumsum(reach)[:-1])), dtype=np.int64) > 1
 
     def bodies(self, rows: np.ndarray) -> tuple[np.ndarray, bytes]:
         """Texts of segments, words joined as they stand in the buffer."""

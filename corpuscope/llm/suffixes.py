@@ -23,6 +23,7 @@ class SuffixOrder:
 
     def __init__(self, symbols: np.ndarray, depth: int):
         n = self.size = len(symbols)
+        self.symbols = symbols
         padded = np.concatenate((symbols.astype(np.uint64), np.zeros(4, np.uint64)))
         first = sum(padded[j:n + j] << np.uint64(16 * (3 - j)) for j in range(4))
         # a rank is the first slot of the suffixes that are equal so far
@@ -60,7 +61,7 @@ class SuffixOrder:
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix of two suffixes, by equal ranks from deep to shallow."""
         out = np.zeros(len(i), np.int64)
-        for depth, rank in [self.ranks[-1], *reversed(self.ranks)]:
+        for depth, rank in [self.ranks[-1], *reversed(self.ranks), *[(1, self.symbols)] * 3]:
             a, b = i + out, j + out
             inside = np.flatnonzero((a < self.size) & (b < self.size))
             same = inside[rank[a[inside]] == rank[b[inside]]]

@@ -239,5 +239,5 @@ def group_duplicates(docs: DataFrame, percent: int = 80, star_rounds: int = STAR
     of_class = classes.select("fp1", "fp2", "n_shingles", "id").join(labels, "id", "left").select(
         "fp1", "fp2", "n_shingles", F.coalesce("label", "id").alias("component"))
     return signed.drop("bands").join(of_class, ["fp1", "fp2", "n_shingles"], "left").select(
-        "doc_id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("doc_id")).alias("component_id")
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
