@@ -19,14 +19,17 @@ def archive_verdicts(entries: DataFrame, max_file: int = P.MAX_FILE_BYTES,
                      max_total: int = P.MAX_ARCHIVE_BYTES, max_files: int = P.MAX_ARCHIVE_FILES) -> DataFrame:
     """FLT-4: one verdict per archive over *all* its entries.
 
-    ``entries(archive_id, entry_no, path, size)`` in archive order.  The count
+    ``entries(archive_id, entry_no, path, size)`` in archive order; an ``error`` column, where
+    there is one, rejects the archive as broken whatever could be read before.  The count
     limit breaks when any entry follows the last allowed kept file; with fewer
     kept files than the limit it cannot.
     """
     kept = ~_c("path").endswith("/") & ~is_ignored("path")
     stored = kept & ~escapes_root("path")
     marked = entries.withColumns({"kept": kept, "stored": stored})
+    broken = F.bool_or(F.col("error").isNotNull()) if "error" in entries.columns else F.bool_or(F.lit(False))
     totals = marked.groupBy("archive_id").agg(
+        broken.alias("broken"),
         F.count_if("stored").alias("kept_files"),
         F.coalesce(F.sum(F.when(F.col("stored"), F.col("size"))), F.lit(0)).alias("kept_bytes"),
         F.coalesce(F.max(F.when(F.col("kept"), F.col("size"))), F.lit(0)).alias("largest"),
@@ -36,7 +39,8 @@ def archive_verdicts(entries: DataFrame, max_file: int = P.MAX_FILE_BYTES,
     full = (F.col("kept_files") > max_files) | (
         (F.col("kept_files") == max_files) & (F.col("last_entry") > F.col("last_kept")))
     reason = (
-        F.when(F.col("largest") > max_file, "file_too_large")
+        F.when(F.col("broken"), "broken")
+        .when(F.col("largest") > max_file, "file_too_large")
         .when(F.col("kept_bytes") > max_total, "archive_too_large")
         .when(full, "too_many_files"))
     return totals.select("archive_id", "kept_files", "kept_bytes", "largest", reason.alias("rejected"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,16 +14,22 @@ from corpuscope.functions.text import head_chars, strip
 from corpuscope.operators.lines import text_lines
 
 
+#: longer than any text or line count
+_ALL = (1 << 31) - 1
+
+
 def _count(text: Column, needle: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))
 
 
-def read_ranges(requests: DataFrame, files: DataFrame, max_lines: int = P.READ_MAX_LINES,
-                max_chars: int = P.READ_MAX_CHARS) -> DataFrame:
+def read_ranges(requests: DataFrame, files: DataFrame, max_lines: int | None = None,
+                max_chars: int | None = None) -> DataFrame:
     """RET-10: ``requests(request_id, project_id, path, start_line, end_line)``.
 
-    Null bounds read the whole file.  Lines keep their own endings.
+    Null bounds read the whole file.  Lines keep their own endings.  Without ``max_lines`` and
+    ``max_chars`` nothing is cut.
     """
+    max_lines, max_chars = max_lines or _ALL, max_chars or _ALL
     parts = F.split("content", "\n")
     asked = requests.join(files.select("project_id", "path", "content"), ["project_id", "path"])
     ranged = F.col("start_line").isNotNull() & F.col("end_line").isNotNull()
@@ -54,13 +60,13 @@ def read_ranges(requests: DataFrame, files: DataFrame, max_lines: int = P.READ_M
             F.lit(" lines. Request a line range (start_line/end_line) to read more."))).alias("note"))
 
 
-def check_pattern(pattern: str) -> None:
-    """Reject an empty or malformed regular expression before any job runs."""
+def check_pattern(pattern: str, files: DataFrame) -> None:
+    """Reject an empty or malformed regular expression before any job runs, by the dialect that will run it."""
     if not pattern:
         raise ValueError("pattern is required")
     try:
-        re.compile(pattern)
-    except re.error as error:
+        files.sparkSession._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException) as error:
         raise ValueError(f"Invalid regular expression: {error}") from error
 
 
@@ -77,33 +83,33 @@ def _in_scope(files: DataFrame, path: str | None, max_files: int | None) -> Data
 
 
 def grep(files: DataFrame, pattern: str, path: str | None = None,
-         max_matches: int = P.GREP_MAX_MATCHES, max_files: int | None = None,
-         line_chars: int = P.GREP_LINE_CHARS) -> DataFrame:
-    """RET-9: first matching lines of every project by path and line.
+         max_matches: int | None = None, max_files: int | None = None,
+         line_chars: int | None = None) -> DataFrame:
+    """RET-9: matching lines of every project by path and line.
 
-    ``max_files=300`` reproduces the interactive tool; by default the whole
-    corpus is searched.
+    The pattern is a ``java.util.regex`` one. ``max_files=300, max_matches=50, line_chars=400``
+    reproduce the interactive tool; by default nothing is cut.
     """
-    check_pattern(pattern)
+    check_pattern(pattern, files)
     order = W.partitionBy("project_id").orderBy("path", "line_no")
-    return (
+    found = (
         text_lines(_in_scope(files, path, max_files))
         .filter(F.col("raw").rlike(pattern))
         .select("project_id", "path", F.col("line_no").alias("line"),
-                head_chars(strip("raw"), line_chars).alias("text"), "line_no")
+                (strip("raw") if line_chars is None else head_chars(strip("raw"), line_chars)).alias("text"), "line_no")
         .withColumn("position", F.row_number().over(order))
-        .filter(F.col("position") <= max_matches)
         .drop("line_no")
     )
+    return found if max_matches is None else found.filter(F.col("position") <= max_matches)
 
 
-def grep_summary(files: DataFrame, matches: DataFrame, max_matches: int = P.GREP_MAX_MATCHES,
+def grep_summary(files: DataFrame, matches: DataFrame, max_matches: int | None = None,
                  max_files: int | None = None) -> DataFrame:
     """RET-9 notes: files scanned until the cap, capped flag, files skipped."""
     per_project = matches.groupBy("project_id").agg(
         F.count("*").alias("n_matches"), F.max("path").alias("last_path"))
     listed = files.groupBy("project_id").agg(F.count("*").alias("n_files"))
-    capped = F.coalesce(F.col("n_matches"), F.lit(0)) >= max_matches
+    capped = F.lit(False) if max_matches is None else F.coalesce(F.col("n_matches"), F.lit(0)) >= max_matches
     scope = _in_scope(files, None, max_files).select("project_id", "path")
     scanned = (
         scope.join(per_project, "project_id", "left")
@@ -117,11 +123,11 @@ def grep_summary(files: DataFrame, matches: DataFrame, max_matches: int = P.GREP
         (F.col("n_files") - F.col("n_scope")).alias("files_skipped"))
 
 
-def list_files(files: DataFrame, limit: int = P.LIST_MAX_FILES) -> DataFrame:
-    """SRC-6: first paths of every project."""
+def list_files(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """SRC-6: paths of every project in order, all or the first ``limit``."""
     order = W.partitionBy("project_id").orderBy("path")
-    return files.select("project_id", "path", "language", "size_bytes") \
-        .withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
+    listed = files.select("project_id", "path", "language", "size_bytes").withColumn("position", F.row_number().over(order))
+    return listed if limit is None else listed.filter(F.col("position") <= limit)
 
 
 def read_by_path(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -182,7 +188,7 @@ def sort_rank_key(type_="type", name="name") -> Column:
     return F.concat(F.when(F.col(type_) == "directory", "0").otherwise("1"), natural_key(name))
 
 
-def contains_filter(df: DataFrame, column: str, needle: str, limit: int | None = P.FILTER_MAX_ROWS) -> DataFrame:
+def contains_filter(df: DataFrame, column: str, needle: str, limit: int | None = None) -> DataFrame:
     """FLT-9: case-insensitive contains; a blank needle matches nothing when
     limited (file view) and everything otherwise (title list)."""
     text = needle.strip().lower() if limit is not None else needle.lower()

@@ -166,7 +166,7 @@ hits AS (SELECT DISTINCT r.request_id, n.name FROM req r JOIN names n ON r.proje
          AND contains(lower(n.name), r.name) WHERE r.name <> ''
          AND NOT EXISTS (SELECT 1 FROM names e WHERE e.project_id = r.project_id AND lower(e.name) = r.name))
 SELECT request_id, name, position FROM (
-  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY name) AS position FROM hits) WHERE position <= 5""")
+  SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY name) AS position FROM hits)""")
 def similar_names(t: Tables) -> DataFrame:
     requests = t.documents.select(
         F.col("doc_id").alias("request_id"), F.col("source").alias("project_id"),
@@ -185,7 +185,7 @@ r AS (SELECT n.project_id || '/' || n.name AS request_id, f.path, f.line, f.from
         row_number() OVER (PARTITION BY n.project_id, n.name ORDER BY f.path, f.line, f.to_name, f.from_symbol) AS position
       FROM names n JOIN refs f ON f.project_id = n.project_id AND f.kind = 'call'
        AND lower(string_split(f.to_name, '.')[-1]) = lower(n.name))
-SELECT request_id, position, path, line::INT AS line, from_symbol, to_name, is_dynamic FROM r WHERE position <= 50""")
+SELECT request_id, position, path, line::INT AS line, from_symbol, to_name, is_dynamic FROM r""")
 def callers(t: Tables) -> DataFrame:
     """Callers of every declared name."""
     files = _files(t)
@@ -200,12 +200,11 @@ cand AS (SELECT project_id || '/' || name AS request_id, *,
          FROM symbols WHERE kind = 'class'),
 inside AS (SELECT c.request_id, c.candidate, f.to_name, f.line, f.is_dynamic, c.project_id,
              row_number() OVER (PARTITION BY c.request_id, c.candidate ORDER BY f.line, f.to_name, f.from_symbol) AS position
-           FROM cand c JOIN refs f ON f.path = c.path AND f.kind = 'call' AND f.line BETWEEN c.start_line AND c.end_line
-           WHERE c.candidate <= 3),
+           FROM cand c JOIN refs f ON f.path = c.path AND f.kind = 'call' AND f.line BETWEEN c.start_line AND c.end_line),
 callees AS MATERIALIZED (SELECT i.request_id, i.candidate, i.position, i.to_name, i.line::INT AS line,
   coalesce(n, 0) > 0 AS resolved, coalesce(n, 0) AS candidates, i.is_dynamic
   FROM inside i LEFT JOIN counts k ON k.project_id = i.project_id
-    AND k.k = lower(string_split(i.to_name, '.')[-1]) WHERE i.position <= 60)
+    AND k.k = lower(string_split(i.to_name, '.')[-1]))
 """
 
 
@@ -306,7 +305,7 @@ calling AS (SELECT DISTINCT project_id, path, lower(string_split(to_name, '.')[-
 pairs AS (SELECT DISTINCT n.path, c.path AS caller_path FROM names n JOIN calling c
           ON c.project_id = n.project_id AND c.k = n.k AND c.path <> n.path),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY caller_path) AS position FROM pairs)
-SELECT path, caller_path, position FROM ranked WHERE position <= 20""")
+SELECT path, caller_path, position FROM ranked""")
 def referenced_by(t: Tables) -> DataFrame:
     files = _files(t)
     symbols, refs = _index(files)

@@ -214,21 +214,20 @@ GREP_PATTERN = "(tion|sh) (of|to|la) "
 
 
 @query("grep_lines", f"""WITH {FILES_SQL},
-m AS (SELECT project_id, path, line_no AS line, substr(trim(raw, {WS}), 1, 400) AS text,
+m AS (SELECT project_id, path, line_no AS line, trim(raw, {WS}) AS text,
         row_number() OVER (PARTITION BY project_id ORDER BY path, line_no) AS position
       FROM lines WHERE regexp_matches(raw, '{GREP_PATTERN}'))
-SELECT * FROM m WHERE position <= 50""")
+SELECT * FROM m""")
 def grep_lines(t: Tables) -> DataFrame:
-    """RET-9: first 50 matches of every project over the whole corpus."""
+    """RET-9: every match of every project."""
     return RD.grep(_files(t), GREP_PATTERN)
 
 
 @query("grep_summary", f"""WITH {FILES_SQL},
 m AS (SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY path, line_no) AS position
       FROM lines WHERE regexp_matches(raw, '{GREP_PATTERN}')),
-k AS (SELECT project_id, count(*) AS n, max(path) AS last_path FROM m WHERE position <= 50 GROUP BY 1)
-SELECT f.project_id, count(*) FILTER (coalesce(n, 0) < 50 OR f.path <= last_path) AS files_scanned, coalesce(max(n), 0) AS n_matches,
-       bool_or(coalesce(n, 0) >= 50) AS capped, 0::BIGINT AS files_skipped
+k AS (SELECT project_id, count(*) AS n FROM m GROUP BY 1)
+SELECT f.project_id, count(*) AS files_scanned, coalesce(max(n), 0) AS n_matches, false AS capped, 0::BIGINT AS files_skipped
 FROM files f LEFT JOIN k USING (project_id) GROUP BY f.project_id""")
 def grep_summary(t: Tables) -> DataFrame:
     files = _files(t)
@@ -270,7 +269,7 @@ def read_whole(t: Tables) -> DataFrame:
 
 @query("list_files", f"""WITH {FILES_SQL}, r AS (SELECT project_id, path, size_bytes,
   row_number() OVER (PARTITION BY project_id ORDER BY path) AS position FROM files)
-SELECT project_id, path, size_bytes, position FROM r WHERE position <= 1000""")
+SELECT project_id, path, size_bytes, position FROM r""")
 def list_files(t: Tables) -> DataFrame:
     """SRC-6."""
     return RD.list_files(_files(t)).select("project_id", "path", "size_bytes", "position")

@@ -11,33 +11,44 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpuscope.operators.hygiene import accepted_entries
+from corpuscope.operators.hygiene import archive_verdicts, keep_entries
 from corpuscope.session import cut_lineage
 from corpuscope.sources.readers import explode_archives, job_verdicts, source_files, split_failures
-from corpuscope.sources.sinks import index_projects, write_partitions
+from corpuscope.sources.sinks import delete_partitions, index_projects, purge_projects, write_partitions
 
 
 def archive_files(blobs: DataFrame, **limits) -> DataFrame:
-    """``(project_id, archive_id, content)`` -> files with an ``error`` column.
+    """``(project_id, archive_id, content[, modificationTime])`` -> files with an ``error`` column.
 
-    Of several uploads of one project in a batch the last name counts.
+    Of several uploads of one project in a batch the latest counts (ties: the last name). A
+    broken or rejected archive is one row without a path whose error names the reason.
     """
-    newest = blobs.groupBy("project_id").agg(F.max("archive_id").alias("archive_id"))
+    time = F.col("modificationTime") if "modificationTime" in blobs.columns else F.lit(0)
+    newest = blobs.groupBy("project_id").agg(F.max_by("archive_id", F.struct(time, "archive_id")).alias("archive_id"))
     entries = explode_archives(blobs.join(newest, ["project_id", "archive_id"], "left_semi").select(
         F.concat_ws("/", "project_id", "archive_id").alias("archive_id"), "content"))
-    kept = accepted_entries(entries.filter("path IS NOT NULL"), **limits)
-    return source_files(kept.select(
-        F.substring_index("archive_id", "/", 1).alias("project_id"), "path", "content"))
+    refused = archive_verdicts(entries, **limits).filter("rejected IS NOT NULL")
+    kept = keep_entries(entries).join(refused.select("archive_id"), "archive_id", "left_anti")
+    project = F.substring_index("archive_id", "/", 1).alias("project_id")
+    files = source_files(kept.select(project, "path", "content"))
+    return files.unionByName(
+        refused.select(project, F.concat(F.lit("archive "), "rejected").alias("error")), allowMissingColumns=True)
 
 
 def index_batch(blobs: DataFrame, folder: str, **limits) -> None:
-    """One batch: explode, split failures, index the projects without any."""
+    """One batch: explode, split failures, index the projects without any.
+
+    A project that fails loses its index, and the failure rows of every project of the batch
+    are replaced, so a repaired project has none left.
+    """
     # read by four writes; archives are small next to what indexing makes of them
     files = cut_lineage(archive_files(blobs, **limits))
     good, failed = split_failures(files)
     verdicts = job_verdicts(files)
     clean = good.join(verdicts.filter("verdict = 'ready'"), "project_id", "left_semi")
     index_projects(clean, folder)
+    purge_projects(files.sparkSession, folder, verdicts.filter("verdict = 'failed'"))
+    delete_partitions(files.sparkSession, f"{folder}/failed_files", verdicts)
     write_partitions(failed, f"{folder}/failed_files")
 
 
@@ -48,7 +59,7 @@ def ingest(spark: SparkSession, uploads: str, folder: str, checkpoint: str) -> S
         .schema("path string, modificationTime timestamp, length long, content binary")
         .option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(uploads)
         .select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("project_id"),
-                F.regexp_extract("path", r"([^/]+)$", 1).alias("archive_id"), "content")
+                F.regexp_extract("path", r"([^/]+)$", 1).alias("archive_id"), "modificationTime", "content")
     )
     return (
         stream.writeStream.foreachBatch(lambda batch, _: index_batch(batch, folder))

@@ -1,10 +1,12 @@
 """Limiter, job state, conversations, retrieval and sinks."""
 
 import datetime as dt
+import io
 import os
 import random
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuscope.operators import conversations as CV
@@ -138,11 +140,9 @@ def test_read_and_grep(spark):
     files = files_from(spark.createDataFrame([("p", "a.py", "x\nbar (1)\ny"), ("p", "b.py", "bar(2)\n")], "p string, path string, c string"), "p", "path", "c")
     hits = RD.grep(files, r"bar\s*\(").collect()
     assert {(h.path, h.line, h.text) for h in hits} == {("a.py", 2, "bar (1)"), ("b.py", 1, "bar(2)")}
-    try:
-        RD.grep(files, "(")
-        raise AssertionError("pattern accepted")
-    except ValueError:
-        pass
+    for wrong in ("(", "(?P<n>a)", ""):
+        with pytest.raises(ValueError):
+            RD.grep(files, wrong)
     asked = spark.createDataFrame([(1, "p", "a.py", 2, 9), (2, "p", "a.py", None, None)],
                                   "request_id int, project_id string, path string, start_line int, end_line int")
     got = {r.request_id: r for r in RD.read_ranges(asked, files, max_lines=2).collect()}
@@ -192,3 +192,34 @@ def test_ingest_reindex_and_purge(spark, tmp_path):
     assert {r.path for r in table("files").collect()} == {"d/n.md"} and table("code_symbols").count() == 0
     purge_projects(spark, index, spark.createDataFrame([("p1",)], "project_id string"))
     assert {r.project_id for r in table("chunks").collect()} == {"p3"}
+
+
+def test_ingest_failures_and_repair(spark, tmp_path):
+    """Broken, oversized, repaired and failing-again uploads, and the order of two uploads."""
+    from corpuscope.sources.sinks import read_index
+    from corpuscope.streaming.ingest import index_batch
+
+    index, good = str(tmp_path / "idx"), b"def f():\n    pass\n"
+
+    def blob(*entries):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w") as z:
+            for name, body in entries:
+                z.writestr(name, body)
+        return held.getvalue()
+
+    def run(*rows):
+        index_batch(spark.createDataFrame(list(rows), "project_id string, archive_id string, modificationTime timestamp, content binary"), index)
+        files = {(r.project_id, r.path) for r in read_index(spark, index, "files").collect()}
+        return files, {(r.project_id, r.path, r.error) for r in spark.read.parquet(f"{index}/failed_files").collect()}
+
+    at = lambda day: dt.datetime(2024, 1, day)
+    broken = bytearray(blob(("a.py", good), ("b.py", good)))
+    broken[broken.rfind(b"def f")] ^= 1  # the second entry's checksum fails
+    files, failed = run(("p1", "a.zip", at(1), bytes(broken)), ("p2", "a.zip", at(1), blob(("big.py", b"x" * 1_000_001))),
+                        ("p3", "v9.zip", at(1), blob(("old.py", good))), ("p3", "v10.zip", at(2), blob(("new.py", good))))
+    assert files == {("p3", "new.py")}
+    assert failed == {("p1", None, "archive broken"), ("p2", None, "archive file_too_large")}
+    files, failed = run(("p1", "b.zip", at(3), blob(("a.py", good))), ("p3", "v11.zip", at(3), blob(("bad.py", b"\xff"))))
+    assert files == {("p1", "a.py")}
+    assert failed == {("p2", None, "archive file_too_large"), ("p3", "bad.py", "malformed UTF-8")}
