@@ -95,7 +95,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: i
         for batch in batches:
             texts, docs_ids = A.as_bytes(batch["text"]), batch["doc_id"].to_pylist()
             out = [[], [], [], [], []]
-            for part in A.text_chunks(texts, A.CHUNK_BYTES // 2):
+            for part in A.text_chunks(texts, 2 * A.CHUNK_BYTES):
                 ids, counts = encoder.encode(texts[part])
                 at = 0
                 for doc, n in zip(docs_ids[part], counts):
