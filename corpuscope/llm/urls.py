@@ -50,13 +50,14 @@ def rule_table(spark: SparkSession, rules: Iterable[tuple[str, str]]) -> DataFra
     frame = spark.createDataFrame(rows, RULE_SCHEMA).dropDuplicates(["rule"])
     host = F.translate(F.regexp_extract("rule", r"^([^/]*)", 1), UPPER, LOWER)
     path = F.regexp_extract("rule", r"^[^/]*(.*)$", 1)
+    # a host holds no slash, so the slash put before the path cannot be taken for a part of either
     quoted = lambda c: F.concat(F.lit(r"\Q"), F.regexp_replace(c, r"\*", r"\\E[^/]*\\Q"), F.lit(r"\E"))
     # the last part of a path prefix may be cut off inside a segment: it is no token
     segments = F.filter(F.split(F.regexp_replace(path, "[^/]*$", ""), "/"), lambda s: (s != "") & ~s.contains("*"))
     labels = F.filter(F.split(host, r"\."), lambda s: (s != "") & ~s.contains("*"))
     return frame.select(
         "rule", "action",
-        F.concat(F.lit(r"(?s)^(?:.*\.)?"), quoted(host), F.lit(" "), quoted(path)).alias("pattern"),
+        F.concat(F.lit(r"(?s)^(?:[^/]*\.)?"), quoted(host), F.lit("/"), quoted(path)).alias("pattern"),
         F.array_distinct(F.concat(labels, segments)).alias("tokens"),
     )
 
@@ -98,7 +99,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], url: str = "u
         urls.select("*", F.explode(F.array_distinct(tokens_of(F.col("host"), F.col("path")))).alias("token"))
         .join(index, "token", "left")
         .select("page_id", "url", "copies", "host", "path", F.when(
-            F.regexp_like(F.concat_ws(" ", "host", "path"), F.col("pattern")),
+            F.regexp_like(F.concat_ws("/", "host", "path"), F.col("pattern")),
             F.struct(F.length("rule").alias("size"), F.col("rule"), F.col("action"))).alias("hit"))
     )
     best = found.groupBy("page_id", "url", "copies", "host", "path").agg(
