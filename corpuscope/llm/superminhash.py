@@ -25,8 +25,8 @@ BANDS, ROWS = 30, 5
 NOBODY = np.iinfo(np.int64).min
 #: star rounds before the remaining pairs of a bucket are taken one by one
 STAR_ROUNDS = 2
-#: text bytes whose shingles meet in one task
-LONE_BYTES = 16 << 20
+#: text bytes whose shingles meet in one task, and those a task combines before it sends them
+LONE_BYTES, SENT_BYTES = 8 << 20, 4 << 20
 
 SIGNED = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
@@ -147,27 +147,27 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, salts: int = 64) ->
 def lone_shingles(texts: DataFrame, buckets: int) -> DataFrame:
     """``id, lone``: how many shingles of each text are in no other one of ``texts``.
 
-    A batch sends each shingle once, with its owner if it has only one, so a shingle that
-    all texts share is one row a batch.
+    A few megabytes of text send each shingle once, with its owner if it has only one, so a
+    shingle that all texts share is one entry for each of them.
     """
 
     def spread(batches):
         for batch in batches:
             own = A.as_bytes(batch["text"])
             ids = batch["id"].to_numpy()
-            parts = [(ids[row + part.start], marks) for part in A.text_chunks(own) for row, marks in [shingle_sets(own[part])]]
-            if not parts:
-                continue
-            owner, marks = (np.concatenate(c) for c in zip(*parts))
-            marks, first, n = np.unique(marks, return_index=True, return_counts=True)
-            owner = np.where(n == 1, owner[first], NOBODY)
-            order = np.argsort(marks % np.uint64(buckets), kind="stable")
-            marks, owner = marks[order], owner[order]
-            cuts = np.searchsorted(marks % np.uint64(buckets), np.arange(buckets + 1, dtype=np.uint64))
-            own_cuts = [(b, cuts[b], cuts[b + 1]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _, _ in own_cuts], pa.int32()), *(pa.array([x[i:j].tobytes() for _, i, j in own_cuts], pa.binary()) for x in (marks, owner))],
-                names=["bucket", "marks", "owner"])
+            for part in A.text_chunks(own, SENT_BYTES):
+                row, marks = shingle_sets(own[part])
+                owner = ids[row + part.start]
+                marks, first, n = np.unique(marks, return_index=True, return_counts=True)
+                owner = np.where(n == 1, owner[first], NOBODY)
+                home = (marks % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(home, kind="stable")
+                marks, owner = marks[order], owner[order]
+                cuts = np.searchsorted(home[order], np.arange(buckets + 1))
+                own_cuts = [(b, cuts[b], cuts[b + 1]) for b in np.unique(home).tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b for b, _, _ in own_cuts], pa.int32()), *(pa.array([x[i:j].tobytes() for _, i, j in own_cuts], pa.binary()) for x in (marks, owner))],
+                    names=["bucket", "marks", "owner"])
 
     def count(table: pa.Table) -> pa.Table:
         marks, owner = (np.frombuffer(b"".join(table[c].to_pylist()), k) for c, k in (("marks", np.uint64), ("owner", np.int64)))
