@@ -288,6 +288,8 @@ def test_urls(spark):
     assert by_id[7][2] is None and by_id[8][2] == "net/" and by_id[0] == ("a.net", "/x", "net/", "block")
     globs = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), [("*/x", "block")]).where("rule IS NOT NULL")
     assert {r.page_id for r in globs.collect()} == {0, None}
+    odd = urls.judge_urls(spark.createDataFrame([(1, "http://a.com/x.net /net")], "page_id long, url string"), urls.RULES).first()
+    assert odd.rule is None and odd.verdict == "allow"
     with pytest.raises(ValueError):
         urls.rule_table(spark, [("net/", "maybe")])
 
