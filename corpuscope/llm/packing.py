@@ -30,6 +30,8 @@ POPULATION, GENERATIONS = 4, 6
 OPEN_BELOW = 0.98
 #: words whose ids a worker keeps; beyond it the store starts anew
 KEPT_WORDS = 1_000_000
+#: new words that the tokenizer takes as one text, and the word put between them
+JOINED_WORDS, MARK = 64, "\x01"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,6 +44,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -50,6 +53,17 @@ class WordIds:
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of ``words`` in one row, and the number of each. Words that hold the mark are encoded alone."""
+        if len(self.mark) != 1 or any(MARK in w for w in words):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([i for e in coded for i in e], np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+        lines = [f" {MARK} ".join(words[i:i + JOINED_WORDS]) + f" {MARK}" for i in range(0, len(words), JOINED_WORDS)]
+        row = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        marked = row == self.mark[0]
+        ends = np.flatnonzero(marked) - np.arange(len(words))
+        return row[~marked], np.diff(ends, prepend=0)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one row, and the number of ids of each text."""
         buffer, begin = A.join_texts(texts)
@@ -64,10 +78,9 @@ class WordIds:
             raw = buffer.tobytes()
             new = np.flatnonzero(~known)
             words = [raw[start[i]:stop[i]].decode("utf-8", "replace") for i in first[new]]
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, coded), np.int64, len(coded))
+            own, size = self.look_up(words)
             at = len(self.ids) + np.concatenate(([0], np.cumsum(size)[:-1]))
-            self.ids = np.concatenate((self.ids, np.array([i for e in coded for i in e], np.uint32)))
+            self.ids = np.concatenate((self.ids, own))
             self.keys = np.insert(self.keys, slot[new], keys[new])
             self.at = np.insert(self.at, slot[new], at)
             self.size = np.insert(self.size, slot[new], size)
