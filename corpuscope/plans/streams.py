@@ -95,14 +95,14 @@ def _drain(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
     t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
     root = f"{ensure_checkpoint_dir(t.spark)}/stream-{uuid.uuid4().hex}"
 
-    def append(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{root}/out")
+    def put(batch: DataFrame, number: int) -> None:  # a batch that is tried again replaces itself
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
     # a replay of one table: state partitions beyond the cores only cost start-up
     partitions = t.spark.conf.get("spark.sql.shuffle.partitions")
     t.spark.conf.set("spark.sql.shuffle.partitions", str(min(int(partitions), t.spark.sparkContext.defaultParallelism)))
     try:
-        stream.writeStream.outputMode(mode).foreachBatch(append).option("checkpointLocation", f"{root}/checkpoint") \
+        stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{root}/checkpoint") \
             .trigger(availableNow=True).start().awaitTermination()
     finally:
         t.spark.conf.set("spark.sql.shuffle.partitions", partitions)
