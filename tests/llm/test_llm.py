@@ -258,6 +258,19 @@ def test_exchange_finds_two_vocabularies():
     assert (classes == before).all() and moved.max() < brown.CLASSES
 
 
+def test_brown_clusters_rare_words_of_a_large_corpus(spark):
+    fold = lambda i: zlib.crc32(str(i).encode()) % 7
+    train, held = [i for i in range(2000) if fold(i) != 2], [i for i in range(2000) if fold(i) == 2]
+    kinds = [[f"{kind}{j}zz" for j in range(20)] for kind in "pq"]  # all end alike; a p is followed by a q
+    rng = np.random.default_rng(3)
+    pairs = lambda n: " ".join(f"{rng.choice(kinds[0])} {rng.choice(kinds[1])}" for _ in range(n))
+    rows = [(i, pairs(6)) for i in train[:60]] + [(train[60], "filler " * 2_000_000)]
+    tests = {held[0]: ("p", "q"), held[1]: ("q", "q"), held[2]: ("p", "p")}
+    rows += [(i, " ".join(f"{k}{j}zz" for j in range(20) for k in pair)) for i, pair in tests.items()]
+    got = {r.doc_id: r.score for r in brown.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()}
+    assert got[held[0]] > max(got[held[1]], got[held[2]]) + 5
+
+
 def test_decontamination(spark, odd):
     item = " ".join(prose(1, 90).split()[10:50])
     near = item.split()
