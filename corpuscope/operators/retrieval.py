@@ -18,6 +18,8 @@ from corpuscope.functions.text import head_chars
 SIMILARITY_DIGITS = 9
 #: bytes of query vectors that one task may hold
 QUERY_BLOCK_BYTES = 32 * 1024 * 1024
+#: queries whose exact top-k decides how many cells the approximate form probes
+AUDIT_QUERIES = 256
 
 TOPK_SCHEMA = "query_id long, chunk_id long, similarity double"
 
@@ -154,28 +156,64 @@ def with_cell(vectors: DataFrame, bits: int = 6, seed: int = 17) -> DataFrame:
     return vectors.withColumn("cell", cell("embedding"))
 
 
+def _probe_order(unit: np.ndarray, bits: int, seed: int) -> np.ndarray:
+    """All cells by the margin of the sign bits a probe would flip, per query."""
+    margin = unit @ _planes(unit.shape[1], bits, seed)
+    codes = np.arange(1 << bits)
+    flips = ((codes[:, None] >> np.arange(bits)) & 1).astype(float)
+    own = (margin > 0) @ (1 << np.arange(bits))
+    return own[:, None] ^ codes[np.argsort(np.abs(margin) @ flips.T, axis=1, kind="stable")]
+
+
+def _audited_probes(queries, cells, k, probes, bits, seed, exclude_self, dim_hint, recall):
+    """The smallest number of probes, from ``probes`` on, that finds the share ``recall`` of the
+    exact top-k of each audited query."""
+    audited = queries.orderBy(F.xxhash64("query_id"), "query_id").limit(AUDIT_QUERIES)
+    frame = audited.toPandas()
+    if not len(frame):
+        return probes
+    audited = queries.sparkSession.createDataFrame(frame, audited.schema)
+    exact = vector_topk(audited, cells.select("chunk_id", "embedding"), k, exclude_self, dim_hint)
+    true = exact.join(cells.select("chunk_id", "cell"), "chunk_id").select("query_id", "cell").toPandas()
+    order = dict(zip(frame["query_id"], _probe_order(_unit(frame["embedding"]), bits, seed)))
+    for query_id, found in true.groupby("query_id"):
+        place = np.argsort(order[query_id])  # of each cell in the query's order
+        needed = np.sort(place[found["cell"].to_numpy()])[max(0, int(np.ceil(recall * len(found) - 1e-9)) - 1)] + 1
+        probes = max(probes, int(needed))
+    return probes
+
+
 def approximate_topk(queries: DataFrame, cells: DataFrame, k: int, probes: int = 16,
                      bits: int = 6, seed: int = 17, exclude_self: bool = False,
-                     dim_hint: int = P.EMBED_DIM) -> DataFrame:
-    """RET-3: score only the ``probes`` cells nearest to each query.
+                     dim_hint: int = P.EMBED_DIM, recall: float = 0.9) -> DataFrame:
+    """RET-3: score only the ``probes`` cells nearest to each query, or more of them.
 
-    Cells are ordered by the margin of the sign bits a probe would flip.  No
+    Cells are ordered by the margin of the sign bits a probe would flip.  Up to
+    ``AUDIT_QUERIES`` queries are compared with their exact top-k first, and all
+    queries probe as many cells as each of those needs for ``recall``.  No
     pair is emitted: a batch holds one or more cells and each query meets only
     the rows of its own probes, keeping k.  A query set above the block bound
-    is refused; split it by query id.
+    is split by query id, one pass over the cells for each block.
     """
     bound = max(1, QUERY_BLOCK_BYTES // (8 * dim_hint))
-    if queries.select("query_id").limit(bound + 1).count() > bound:
-        raise ValueError(f"more than {bound} queries: split the query set")
+    probes = _audited_probes(queries, cells, k, probes, bits, seed, exclude_self, dim_hint, recall)
+    if queries.select("query_id").limit(bound + 1).count() <= bound:
+        return _ranked(_probe_block(queries, cells, k, probes, bits, seed, exclude_self), k).hint("broadcast")
+    blocks = -(-queries.count() // max(1, bound // 2))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    found = None
+    for i in range(blocks):
+        part = _probe_block(queries.filter(block == i), cells, k, probes, bits, seed, exclude_self)
+        found = part if found is None else found.unionByName(part)
+    return _ranked(found, k)
+
+
+def _probe_block(queries, cells, k, probes, bits, seed, exclude_self):
     frame = queries.toPandas()
+    if not len(frame):
+        return queries.sparkSession.createDataFrame([], TOPK_SCHEMA)
     unit = _unit(frame["embedding"])
-    margin = unit @ _planes(unit.shape[1], bits, seed)
-    codes = np.arange(1 << bits)
-    flips = ((codes[:, None] >> np.arange(bits)) & 1).astype(float)
-    own = (margin > 0) @ (1 << np.arange(bits))
-    cost = np.abs(margin) @ flips.T
-    nearest = np.argsort(cost, axis=1, kind="stable")[:, :probes]
-    probed = own[:, None] ^ codes[nearest]
+    probed = _probe_order(unit, bits, seed)[:, :probes]
     allowed = np.zeros((len(frame), 1 << bits), dtype=bool)
     np.put_along_axis(allowed, probed, True, axis=1)
     shared = queries.sparkSession.sparkContext.broadcast((frame["query_id"].to_numpy(), unit, allowed))
@@ -192,8 +230,7 @@ def approximate_topk(queries: DataFrame, cells: DataFrame, k: int, probes: int =
                     (query_ids[pick], q[pick]), (chunk_ids, _unit(rows["embedding"])), mask, k)
                 yield pd.DataFrame(list(found), columns=["query_id", "chunk_id", "similarity"])
 
-    return _ranked(cells.filter(F.col("cell").isin(wanted)).mapInPandas(score, TOPK_SCHEMA), k) \
-        .hint("broadcast")
+    return cells.filter(F.col("cell").isin(wanted)).mapInPandas(score, TOPK_SCHEMA)
 
 
 # --------------------------------------------------------------------------

@@ -134,6 +134,25 @@ def test_grid_equals_broadcast_and_probe_recall(spark):
     assert len(pairs & {e[:2] for e in exact}) / 200 > 0.8
 
 
+def test_registered_approximate_search_reaches_recall(spark, monkeypatch):
+    from corpuscope.plans import load_all
+    from corpuscope.plans.registry import QUERIES
+
+    load_all()
+
+    folder = "/root/testdata/sf0.01"
+    by_query = lambda rows: {q: {r.chunk_id for r in rows if r.query_id == q} for q in {r.query_id for r in rows}}
+    exact = by_query(QUERIES["vector_topk_batch"](spark, folder).collect())
+
+    def check():
+        near = by_query(QUERIES["vector_topk_approximate"](spark, folder).collect())
+        assert len(near) == len(exact) and all(len(near[q] & exact[q]) >= 0.9 * len(exact[q]) for q in exact)
+
+    check()
+    monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 8 * 64 * 40)  # queries in blocks
+    check()
+
+
 def test_read_and_grep(spark):
     from corpuscope.operators.lines import files_from
 
