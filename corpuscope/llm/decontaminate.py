@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash windows, Hamming blocks, weighted-shingle verification.
 
-Every window of a document that is as long as an item is compared with it. A window can only reach the
+Every window of a document that is as long as an item is compared with it; a document shorter than the
+item is one window as a whole. A window can only reach the
 similarity if enough of its shingles are item shingles, which a running count tells for all
 windows at once. Those windows get a 64-bit SimHash of their shingles; its four 16-bit blocks look up the items
 that differ in at most ``RADIUS // 4`` bits of a block, which finds every item within
@@ -16,7 +17,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm import arrays as A
@@ -77,6 +78,7 @@ def leaks_in(items: Items, texts: list[bytes]):
     start, stop = A.word_spans(buffer)
     hashes = A.word_hashes(buffer, start, stop, fold=True)
     edges = np.searchsorted(start, begin)
+    words = np.diff(edges)
     found: dict[tuple[int, int], tuple] = {}
     known: dict[int, tuple] = {}
     for n, (k, own, marks, union, prints, tables) in items.groups.items():
@@ -94,18 +96,21 @@ def leaks_in(items: Items, texts: list[bytes]):
         hits = hits[union[slot] == grams[hits]]
         if not len(hits):
             continue
-        need = int(np.ceil(SIMILARITY * 2 * m / (1 + SIMILARITY) - 1e-9))
         # a window that holds enough hits begins at most m - 1 before the first of them
         reach = np.unique((hits[:, None] - np.arange(m)[None]).ravel())
         reach = reach[reach >= 0]
         doc = np.searchsorted(edges, reach, side="right") - 1
         reach = reach[reach + n <= edges[doc + 1]]
-        inside = np.searchsorted(hits, reach + m) - np.searchsorted(hits, reach)
-        reach = reach[inside >= need]
+        short = np.flatnonzero((words < n) & (words >= k))
+        held = np.concatenate((np.full(len(reach), m), words[short] - k + 1))
+        reach = np.concatenate((reach, edges[short]))
+        need = np.ceil(SIMILARITY * (m + held) / (1 + SIMILARITY) - 1e-9)
+        inside = np.searchsorted(hits, reach + held) - np.searchsorted(hits, reach)
+        reach, held = reach[inside >= need], held[inside >= need]
         if not len(reach):
             continue
-        flat = grams[A.ranges(reach, np.full(len(reach), m))]
-        window = simhash(flat, np.arange(len(reach)) * m, np.full(len(reach), m))
+        flat, at = grams[A.ranges(reach, held)], np.cumsum(held) - held
+        window = simhash(flat, at, held)
         pairs = []
         for j, (offsets, near) in enumerate(tables):
             part = ((window >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -114,48 +119,55 @@ def leaks_in(items: Items, texts: list[bytes]):
         key = np.unique(np.concatenate(pairs))
         w, i = key // len(own), key % len(own)
         close = np.bitwise_count(window[w] ^ prints[i]) <= RADIUS
-        flat = flat.reshape(-1, m)
         for w, i in zip(w[close], i[close]):
-            a, b = np.unique(flat[w], return_counts=True), np.unique(marks[i], return_counts=True)
+            a, b = np.unique(flat[at[w]:at[w] + held[w]], return_counts=True), np.unique(marks[i], return_counts=True)
             _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
             common = int(np.minimum(a[1][x], b[1][y]).sum())
-            score = common / (2 * m - common)
+            score = common / (m + held[w] - common)
             if score >= SIMILARITY:
                 row = int(np.searchsorted(edges, reach[w], side="right") - 1)
-                best = (score, -int(reach[w] - edges[row]), n)
-                at = (row, int(own[i]))
-                if at not in found or best > found[at]:
-                    found[at] = best
+                best = (score, -int(reach[w] - edges[row]), int(held[w]) + k - 1)
+                pair = (row, int(own[i]))
+                if pair not in found or best > found[pair]:
+                    found[pair] = best
     return [(row, int(items.ids[i]), score, -low, n) for (row, i), (score, low, n) in sorted(found.items())]
 
 
 LEAKS = "doc_id long, item_id long, similarity double, first_word long, n_words long"
 
 
+def _item_blocks(spark: SparkSession, benchmark: DataFrame):
+    """Broadcast blocks of the items that have a text."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text IS NOT NULL")
+    sizes = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(1, -(-sizes.n // (BLOCK_ITEMS // 2)), -(-(sizes.bytes or 0) // (BLOCK_BYTES // 2)))
+    items = cut_lineage(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))))
+    for part in range(parts):
+        block = items.where(F.col("part") == part).orderBy("item_id", "text").toArrow()
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, block["item_id"].to_pylist(), A.as_bytes(block["text"])))
+
+
+def _known(shared) -> Items:
+    name, ids, texts = shared.value
+    return _built.get(name) or _built.setdefault(name, Items(list(range(len(ids))), texts))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document id and item that has a window of at least ``SIMILARITY``.
 
     Words are runs of anything but ASCII white space, A-Z as a-z. An item with fewer than five words has its
-    whole sequence as one shingle; items and documents without words never match. Null item
-    ids are left out; a null doc_id is reported as null. Equal ids are reported once, with their
+    whole sequence as one shingle; items and documents without words never match. A document shorter than an item is
+    compared as a whole. Null item ids are left out; a null doc_id is reported as null. Equal ids are reported once, with their
     best window (ties: the earliest).
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    sizes = items.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    parts = max(1, -(-sizes.n // (BLOCK_ITEMS // 2)), -(-(sizes.bytes or 0) // (BLOCK_BYTES // 2)))
-    items = cut_lineage(items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    context, out = docs.sparkSession.sparkContext, None
-    for part in range(parts):
-        block = items.where(F.col("part") == part).orderBy("item_id", "text").toArrow()
-        shared = context.broadcast((uuid.uuid4().hex, block["item_id"].to_pylist(), A.as_bytes(block["text"])))
-
+    out = None
+    for shared in _item_blocks(docs.sparkSession, benchmark.where("item_id IS NOT NULL")):
         def scan(batches, shared=shared):
-            name, ids, texts = shared.value
-            known = _built.get(name) or _built.setdefault(name, Items(ids, texts))
+            known, ids = _known(shared), shared.value[1]
             for batch in batches:
                 own, doc_ids = A.as_bytes(batch["text"]), batch["doc_id"].to_pylist()
-                rows = [(doc_ids[part.start + r], *rest) for part in A.text_chunks(own) for r, *rest in leaks_in(known, own[part])]
+                rows = [(doc_ids[part.start + r], ids[i], *rest) for part in A.text_chunks(own) for r, i, *rest in leaks_in(known, own[part])]
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
@@ -167,4 +179,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         "doc_id", "item_id", "best.similarity", (-F.col("best.early")).alias("first_word"), "best.n_words")
 
 
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows that hold no item, whatever the ids of documents and items are."""
+    for shared in _item_blocks(docs.sparkSession, benchmark):
+        def clean(batches, shared=shared):
+            known = _known(shared)
+            for batch in batches:
+                own = A.as_bytes(batch["text"])
+                keep = np.ones(len(own), bool)
+                for part in A.text_chunks(own):
+                    keep[[part.start + r for r, *_ in leaks_in(known, own[part])]] = False
+                yield batch.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 _built: dict[str, Items] = {}

@@ -281,6 +281,18 @@ def test_decontamination(spark, odd):
     assert got == {(d, 1): 1.0 for d in (9, 10, 11, None)} | {(d, 2): round((m - 5) / (m + 5), 6) for d in ()} | {(d, 4): 1.0 for d in (6, 7, 15)}
 
 
+def test_decontamination_of_documents_shorter_than_an_item(spark):
+    item = prose(50, 36)
+    cut = lambda a, b: " ".join(item.split()[a:b])
+    texts = [(1, cut(0, 33)), (2, cut(2, 36)), (3, cut(0, 20)), (4, "one"), (5, prose(51, 34)), (None, cut(0, 33)), (5, item + " end"), (6, None), (7, prose(52, 9))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, item), (None, texts[-1][1])], "item_id long, text string")
+    got = {(r.doc_id, r.first_word, r.n_words): round(r.similarity, 6) for r in decontaminate.find_leaks(docs, items).collect()}
+    assert got == {(1, 0, 33): round(29 / 32, 6), (None, 0, 33): round(29 / 32, 6), (2, 0, 34): round(30 / 32, 6), (5, 0, 36): 1.0}
+    kept = [(r.doc_id, r.text) for r in decontaminate.without_leaks(docs, items).collect()]
+    assert kept == [texts[2], texts[3], texts[4], texts[7]]
+
+
 def test_licenses(spark):
     text = dict(licenses.TEMPLATES)
     rows = [(1, prose(1, 50) + "\n" + text["MIT"] + "\n" + prose(2, 50) + " " + text["GPL-3.0"]), (2, "released under the mit license"), (3, "released under a license"),
