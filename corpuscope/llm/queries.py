@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuscope.llm import brown, decontaminate, hnsw, licenses, packing, substrings, suffixes, superminhash, toxicity, urls
+from corpuscope.llm import brown, decontaminate, extract, hnsw, licenses, manifest, packing, substrings, suffixes, superminhash, toxicity, urls, whitening
 from corpuscope.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,21 @@ def op7_hnsw(table) -> DataFrame:
 @register
 def op6_licenses(table) -> DataFrame:
     return licenses.scan_licenses(table("documents"))
+
+
+@register
+def op11_extract(table) -> DataFrame:
+    return extract.extract_pages(table("pages")).select("page_id", "url", "text", "n_chars")
+
+
+@register
+def op12_manifest(table) -> DataFrame:
+    return manifest.prove_rows(table("documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+ORACLES["op12_manifest"] = manifest.oracle()
+
+
+@register
+def op13_whitening(table) -> DataFrame:
+    return whitening.whiten_vectors(table("embeddings"))
