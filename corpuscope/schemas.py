@@ -34,6 +34,16 @@ REFERENCES = T.StructType([
     T.StructField("is_dynamic", _b),
 ])
 
+FAILED_FILES = T.StructType([
+    T.StructField("project_id", _s), T.StructField("path", _s), T.StructField("error", _s),
+])
+
+#: which version of the index counts for a project, and the upload it was made from
+MANIFEST = T.StructType([
+    T.StructField("project_id", _s), T.StructField("version", _s),
+    T.StructField("uploaded_at", T.TimestampType()), T.StructField("archive_id", _s),
+])
+
 QUESTIONS = T.StructType([
     T.StructField("metadata", T.MapType(_s, _s)),
     T.StructField("questions", T.ArrayType(T.StructType([

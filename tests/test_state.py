@@ -200,7 +200,7 @@ def test_ingest_reindex_and_purge(spark, tmp_path):
         return read_index(spark, index, name)
 
     assert {r.name for r in table("code_symbols").collect()} == {"A", "m"}
-    assert {(r.project_id, r.path) for r in spark.read.parquet(f"{index}/failed_files").collect()} == {("p2", "bad.py")}
+    assert {(r.project_id, r.path) for r in table("failed_files").collect()} == {("p2", "bad.py")}
     tree = tmp_path / "tree" / "p1"
     os.makedirs(tree / "d")
     (tree / "d" / "n.md").write_text("# only text\n")
@@ -216,7 +216,7 @@ def test_ingest_reindex_and_purge(spark, tmp_path):
 def test_ingest_failures_and_repair(spark, tmp_path):
     """Broken, oversized, repaired and failing-again uploads, and the order of two uploads."""
     from corpuscope.sources.sinks import read_index
-    from corpuscope.streaming.ingest import index_batch
+    from corpuscope.streaming.ingest import index_batch, read_uploads
 
     index, good = str(tmp_path / "idx"), b"def f():\n    pass\n"
 
@@ -230,7 +230,7 @@ def test_ingest_failures_and_repair(spark, tmp_path):
     def run(*rows):
         index_batch(spark.createDataFrame(list(rows), "project_id string, archive_id string, modificationTime timestamp, content binary"), index)
         files = {(r.project_id, r.path) for r in read_index(spark, index, "files").collect()}
-        return files, {(r.project_id, r.path, r.error) for r in spark.read.parquet(f"{index}/failed_files").collect()}
+        return files, {(r.project_id, r.path, r.error) for r in read_index(spark, index, "failed_files").collect()}
 
     at = lambda day: dt.datetime(2024, 1, day)
     broken = bytearray(blob(("a.py", good), ("b.py", good)))
@@ -242,3 +242,59 @@ def test_ingest_failures_and_repair(spark, tmp_path):
     files, failed = run(("p1", "b.zip", at(3), blob(("a.py", good))), ("p3", "v11.zip", at(3), blob(("bad.py", b"\xff"))))
     assert files == {("p1", "a.py")}
     assert failed == {("p2", None, "archive file_too_large"), ("p3", "bad.py", "malformed UTF-8")}
+    files, failed = run(("p1", "old.zip", at(2), blob(("stale.py", good))), ("p1", "older.zip", at(1), blob(("stale.py", good))))
+    assert files == {("p1", "a.py")}  # an upload older than the indexed one changes nothing
+    log = {(r.project_id, r.archive_id): r.outcome for r in read_uploads(spark, index).collect()}
+    assert log == {("p1", "a.zip"): "failed", ("p2", "a.zip"): "failed", ("p3", "v9.zip"): "superseded", ("p3", "v10.zip"): "ready",
+                   ("p1", "b.zip"): "ready", ("p3", "v11.zip"): "failed", ("p1", "old.zip"): "late", ("p1", "older.zip"): "superseded"}
+
+
+def _plain_files(spark, rows):
+    frame = spark.createDataFrame(rows, "project_id string, path string, content string")
+    return frame.select("project_id", F.md5(F.concat_ws("/", "project_id", "path")).alias("file_id"), "path", "content", F.md5("content").alias("content_hash"),
+                        F.octet_length("content").cast("long").alias("size_bytes"), F.lit("python").alias("language"))
+
+
+def test_failed_write_keeps_the_old_index(spark, tmp_path, monkeypatch):
+    from corpuscope.sources import sinks
+
+    index = str(tmp_path / "idx")
+    old = [("p1", "a.py", "def f():\n    pass\n"), ("p2", "b.py", "def g():\n    pass\n")]
+    sinks.index_projects(_plain_files(spark, old), index)
+
+    def state():
+        return ({(r.project_id, r.path) for r in sinks.read_index(spark, index, "files").collect()},
+                {r.name for r in sinks.read_index(spark, index, "code_symbols").collect()})
+
+    before = state()
+    assert before == ({("p1", "a.py"), ("p2", "b.py")}, {"f", "g"})
+    write = sinks.write_version
+
+    def broken(df, folder, name, version):
+        if name == "code_references":
+            raise OSError("disk full")
+        write(df, folder, name, version)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(sinks, "write_version", broken)
+        with pytest.raises(OSError):
+            sinks.index_projects(_plain_files(spark, [("p1", "new.py", "def h():\n    pass\n")]), index)
+    assert state() == before
+    sinks.index_projects(_plain_files(spark, [("p1", "new.py", "x = 1\n")]), index)
+    assert state() == ({("p1", "new.py"), ("p2", "b.py")}, {"g"})
+    assert len(os.listdir(f"{index}/files")) == 3
+    sinks.compact(spark, index)
+    assert state() == ({("p1", "new.py"), ("p2", "b.py")}, {"g"}) and len(os.listdir(f"{index}/files")) == 1
+
+
+def test_second_of_two_writers_fails(spark, tmp_path):
+    from corpuscope.sources import sinks
+
+    index = str(tmp_path / "idx")
+    base = sinks.published(spark, index)
+    projects = spark.createDataFrame([("p1",)], "project_id string")
+    sinks.publish(spark, index, sinks.entries_of(projects, "v1"), projects, base)
+    with pytest.raises(sinks.IndexConflict):
+        sinks.publish(spark, index, sinks.entries_of(projects, "v2"), projects, base)
+    assert [r.version for r in sinks.read_manifest(spark, index).collect()] == ["v1"]
+    assert sinks.read_index(spark, index, "files").count() == 0
