@@ -104,7 +104,7 @@ def leaf_table(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").alias("lang"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("")).alias("grp"),
         row_digest().alias("digest"), row_digest({"text": tampered_text()}).alias("tampered"))
-    rows = rows.withColumn("tie", F.monotonically_increasing_id())  # equal rows are interchangeable
+    rows = cut_lineage(rows.withColumn("tie", F.monotonically_increasing_id()))  # equal rows are interchangeable
     ranked = with_positions(rows, ["grp"], [F.col("doc_id").asc_nulls_first(), F.col("digest"), F.col("tie")], "lo", total="n")
     lo = F.col("lo") - 1
     return ranked.select("doc_id", "lang", "grp", "n", lo.alias("lo"), lo.alias("hi"), "digest", "tampered")
