@@ -51,24 +51,27 @@ class Items:
         edges = np.searchsorted(start, begin)
         self.ids, self.words = np.array(ids, np.int64), np.diff(edges)
         self.groups = {}
+        self.prints = np.zeros(len(ids), np.uint64)
         for n in np.unique(self.words[self.words > 0]):
             k = min(SHINGLE, int(n))
             own = np.flatnonzero(self.words == n)
             grams = A.word_grams(hashes, k)
             marks = np.stack([grams[edges[i]:edges[i] + n - k + 1] for i in own])
             prints = simhash(marks.ravel(), np.arange(len(own)) * marks.shape[1], np.full(len(own), marks.shape[1]))
-            self.groups[int(n)] = (k, own, np.sort(marks, axis=1), np.unique(marks), prints, self._tables(prints))
+            self.prints[own] = prints
+            self.groups[int(n)] = (k, own, np.sort(marks, axis=1), np.unique(marks))
+        self.tables = self._tables(self.prints)
 
     @staticmethod
     def _tables(prints: np.ndarray):
-        """For each 16-bit block: the items near each block value, as (offsets, items)."""
+        """For each 16-bit block: the items, of any length, near each block value, as (offsets, items)."""
         out = []
         for j in range(4):
             part = ((prints >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.uint32)
             value = (part[:, None] ^ _NEAR[None]).ravel()
             item = np.repeat(np.arange(len(prints), dtype=np.int32), len(_NEAR))
             order = np.argsort(value, kind="stable")
-            out.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)), item[order]))
+            out.append((np.searchsorted(value[order], np.arange((1 << 16) + 1)).astype(np.int32), item[order]))
         return out
 
 
@@ -81,7 +84,7 @@ def leaks_in(items: Items, texts: list[bytes]):
     words = np.diff(edges)
     found: dict[tuple[int, int], tuple] = {}
     known: dict[int, tuple] = {}
-    for n, (k, own, marks, union, prints, tables) in items.groups.items():
+    for n, (k, own, marks, union) in items.groups.items():
         m = n - k + 1
         if k not in known:
             grams = A.word_grams(hashes, k)
@@ -111,14 +114,16 @@ def leaks_in(items: Items, texts: list[bytes]):
             continue
         flat, at = grams[A.ranges(reach, held)], np.cumsum(held) - held
         window = simhash(flat, at, held)
-        pairs = []
-        for j, (offsets, near) in enumerate(tables):
+        pairs, place = [], np.full(len(items.words), -1)
+        place[own] = np.arange(len(own))
+        for j, (offsets, near) in enumerate(items.tables):
             part = ((window >> np.uint64(16 * j)) & np.uint64(0xFFFF)).astype(np.int64)
-            size = offsets[part + 1] - offsets[part]
-            pairs.append(np.repeat(np.arange(len(reach)), size) * len(own) + near[A.ranges(offsets[part], size)])
+            size = (offsets[part + 1] - offsets[part]).astype(np.int64)
+            w, i = np.repeat(np.arange(len(reach)), size), place[near[A.ranges(offsets[part].astype(np.int64), size)]]
+            pairs.append((w * len(own) + i)[i >= 0])  # items of this length
         key = np.unique(np.concatenate(pairs))
         w, i = key // len(own), key % len(own)
-        close = np.bitwise_count(window[w] ^ prints[i]) <= RADIUS
+        close = np.bitwise_count(window[w] ^ items.prints[own[i]]) <= RADIUS
         for w, i in zip(w[close], i[close]):
             a, b = np.unique(flat[at[w]:at[w] + held[w]], return_counts=True), np.unique(marks[i], return_counts=True)
             _, x, y = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -148,8 +153,12 @@ def _item_blocks(spark: SparkSession, benchmark: DataFrame):
 
 
 def _known(shared) -> Items:
+    """The block's items, built once a worker, which keeps one block."""
     name, ids, texts = shared.value
-    return _built.get(name) or _built.setdefault(name, Items(list(range(len(ids))), texts))
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(list(range(len(ids))), texts)
+    return _built[name]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -171,6 +180,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "similarity", "first_word", "n_words"])
+            A.release()
 
         found = rows.mapInArrow(scan, LEAKS)
         out = found if out is None else out.unionByName(found)
@@ -190,6 +200,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for part in A.text_chunks(own):
                     keep[[part.start + r for r, *_ in leaks_in(known, own[part])]] = False
                 yield batch.filter(pa.array(keep))
+            A.release()
 
         docs = docs.mapInArrow(clean, docs.schema)
     return docs

@@ -108,7 +108,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: i
         for batch in batches:
             texts, docs_ids = A.as_bytes(batch["text"]), batch["doc_id"].to_pylist()
             out = [[], [], [], [], []]
-            for part in A.text_chunks(texts, 2 * A.CHUNK_BYTES):
+            for part in A.text_chunks(texts):
                 ids, counts = encoder.encode(texts[part])
                 at = 0
                 for doc, n in zip(docs_ids[part], counts):
@@ -121,6 +121,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: i
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        A.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

@@ -159,6 +159,7 @@ def _census(spec: Spec, buckets: int):
         value = value[first]
         groups, packed = _packed((value >> np.uint64(20)) % np.uint64(buckets), {
             "value": value, "seg": seg, "n": n.astype(np.uint32), "doc": doc[first].astype(np.int64), "twice": twice[first].astype(np.uint8)})
+        A.release()
         return pa.table({"block": pa.array(np.full(len(groups), key[0].as_py(), np.int32)),
                          "bucket": pa.array(groups.astype(np.int32)), **{k: pa.array(v, pa.binary()) for k, v in packed.items()}})
 
@@ -247,6 +248,7 @@ def _ship(spec: Spec, shards: int):
             if windows:
                 mark, first, n = np.unique(np.concatenate([w[0] for w in windows]), return_index=True, return_counts=True)
                 emit(SPLIT, mark, mark, n, np.concatenate([w[1] for w in windows])[first], np.zeros(len(mark), np.int64), b"")
+        A.release()
         return pa.concat_tables(tables) if tables else pa.table(
             {c: pa.array([], pa.int32()) for c in ("block", "shard", "kind")} | {c: pa.array([], pa.binary()) for c in ("seg", "n", "doc", "size", "body")})
 
@@ -300,6 +302,7 @@ def _search(spec: Spec):
             item, which, f = item[useful], which[useful], f[useful]
             out.append((block[item], np.full(len(item), FOUND), seg[item], place[a][which], place[b][which] + 1, f))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)]
+        A.release()
         return _verdicts(*columns)
 
     return run
@@ -360,6 +363,7 @@ def _apply(spec: Spec, fields: list[str], with_text: bool):
             if with_text:
                 out["kept"] = pa.array(kept, pa.binary())
             tables.append(pa.table(out))
+        A.release()
         empty = pa.table({c: docs[c] for c in fields} | {c: pa.array([], pa.int64()) for c in ("n_units", "n_removed", "n_spans")}
                          | {"kept_sha256": pa.array([], pa.string())} | ({"kept": pa.array([], pa.binary())} if with_text else {})) if not docs.num_rows else None
         return pa.concat_tables(tables) if tables else empty

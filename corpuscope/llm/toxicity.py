@@ -101,6 +101,8 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> tuple[np.ndar
             rows += [np.concatenate((k & 0xFFFFFFFF, bias)) for k in np.split(key, cuts)]
         w = fit_shard(rows, labels, s)
         at = np.flatnonzero(w)
+        del rows
+        A.release()
         return pa.table({"bucket": at, "w": w[at]})
 
     parts = sample.groupBy("shard").applyInArrow(fit, "bucket long, w double")
@@ -127,6 +129,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], bits: int = Set
                 np.add.at(out, (key >> 32) + part.start, dense[key & 0xFFFFFFFF])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))],
                                              names=[*batch.schema.names, "score"])
+        A.release()
 
     return docs.mapInArrow(run, schema)
 
