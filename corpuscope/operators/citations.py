@@ -111,8 +111,8 @@ def citation_accuracy(answers: DataFrame, scored: DataFrame) -> DataFrame:
         F.coalesce(F.col("correct") / F.col("cited"), F.lit(0.0)).alias("accuracy"))
 
 
-def _tiers(files: DataFrame) -> DataFrame:
-    """Keys a path answers to, each with its first path and hit count."""
+def _tiers(files: DataFrame, probes: DataFrame) -> DataFrame:
+    """Asked keys that some path answers to, each with its first path and hit count; keys that nobody asks for are dropped at once."""
     suffixes = segment_suffixes("path")
     proper = F.slice(suffixes, F.lit(2), F.size(suffixes))
 
@@ -120,8 +120,9 @@ def _tiers(files: DataFrame) -> DataFrame:
         return F.transform(keys, lambda k: F.struct(F.lit(tier).alias("tier"), k.alias("key")))
 
     keys = F.concat(rows(1, F.array("path")), rows(2, proper), rows(3, F.array(base_name("path"))))
-    return files.select("project_id", "path", F.inline(keys)).groupBy("project_id", "tier", "key").agg(
-        F.min("path").alias("hit"), F.count("*").alias("hits"))
+    asked = probes.select("project_id", "tier", "key").distinct()
+    return files.select("project_id", "path", F.inline(keys)).join(asked, ["project_id", "tier", "key"], "left_semi") \
+        .groupBy("project_id", "tier", "key").agg(F.min("path").alias("hit"), F.count("*").alias("hits"))
 
 
 def resolve_citations(cited: DataFrame, files: DataFrame) -> DataFrame:
@@ -137,7 +138,7 @@ def resolve_citations(cited: DataFrame, files: DataFrame) -> DataFrame:
         F.struct(F.lit(1).alias("tier"), F.col("key").alias("key")),
         F.struct(F.lit(2).alias("tier"), F.col("key").alias("key")),
         F.struct(F.lit(3).alias("tier"), base_name("key").alias("key")))))
-    found = probes.join(_tiers(files), ["project_id", "tier", "key"])
+    found = probes.join(_tiers(files, probes), ["project_id", "tier", "key"])
     suffix_hits = F.coalesce(F.max(F.when(F.col("tier") == 2, F.col("hits"))), F.lit(0))
     best = F.min_by(F.struct("tier", "hit", "hits"), "tier")
     return (

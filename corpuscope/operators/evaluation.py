@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from corpuscope import params as P
+from corpuscope.session import cut_lineage
 
 
 def judged(queries: DataFrame, ranked: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -89,17 +91,10 @@ def verdict_ratio(verdicts="verdicts", points="reference_points") -> list[Column
             ratio.alias("points_ratio"), mismatch.alias("length_mismatch")]
 
 
-def nearest_rank(column: str, fraction: float = 0.95) -> Column:
-    """AGG-10."""
-    return F.coalesce(
-        F.expr(f"percentile_disc({fraction}) WITHIN GROUP (ORDER BY {column})"), F.lit(0.0))
-
-
 def run_aggregates(runs: DataFrame) -> DataFrame:
     """AGG-9: one global row; failed runs count but do not enter the means.
 
-    p95 needs a distributed order statistic: the exact nearest rank comes from
-    counts per distinct latency (pre-aggregated), not from one sorted buffer.
+    p95 is a distributed order statistic (:func:`nearest_ranks`).
     """
     ok = F.col("error").isNull()
 
@@ -125,42 +120,37 @@ def run_aggregates(runs: DataFrame) -> DataFrame:
         F.count_if(~ok).alias("failed_runs"),
         F.count("judge_error").alias("judge_errors"),
     )
-    p95 = exact_nearest_rank(runs.filter(ok), "latency_s", 0.95).select(
+    p95 = nearest_ranks(runs.filter(ok).withColumn("all", F.lit(0)), "latency_s", 0.95, ["all"]).select(
         F.col("value").alias("p95_latency_s"))
-    # both sides are single-row aggregates
-    return totals.join(F.broadcast(p95))
+    # both sides are aggregates of one row at most
+    return totals.join(F.broadcast(p95), how="left").withColumn("p95_latency_s", F.coalesce("p95_latency_s", F.lit(0.0)))
+
 
+def same_keys(left: list[str], right: list[str]) -> Column:
+    """Equality of two lists of columns, null equal to null."""
+    return reduce(lambda a, b: a & b, (F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)))
 
-def exact_nearest_rank(df: DataFrame, column: str, fraction: float) -> DataFrame:
-    """AGG-10 at scale: value at ``ceil(fraction * n)`` in sorted order.
 
-    ``percentile_disc`` keeps its whole value map in one aggregation buffer.
-    Here the histogram is pre-aggregated per value, coarse ranges of it are
-    summed first, and only the range that holds the rank is ordered.
+def nearest_ranks(df: DataFrame, column: str, fraction: float, keys: list[str]) -> DataFrame:
+    """AGG-10: per key the ``value`` at place ``ceil(fraction * n)`` of its values in order; 0.0 for a key without any.
+
+    Values are counted first, then range-partitioned by key and value, so a key of any size spans many tasks. One
+    weight for each key and partition tells which partition holds the rank; only that slice of the key is ordered.
     """
-    histogram = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")) \
-        .agg(F.count("*").alias("n"))
-    # a monotone coarse key (high bits of an order-preserving code) splits the
-    # histogram into at most 4096 ranges
-    coarse = F.floor(F.log2(F.abs(F.col("value").cast("double")) + 1.0) * 32).cast("int") \
-        * F.signum(F.col("value").cast("double")).cast("int")
-    histogram = histogram.withColumn("range", coarse)
-    ranges = histogram.groupBy("range").agg(F.sum("n").alias("range_n"))
-    from pyspark.sql.window import Window as W
-    running = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    placed = (
-        ranges.withColumn("before", F.coalesce(F.sum("range_n").over(running), F.lit(0)))
-        .withColumn("target", F.ceil(F.sum("range_n").over(W.partitionBy()) * F.lit(fraction)))
-        .filter((F.col("before") < F.col("target")) & (F.col("before") + F.col("range_n") >= F.col("target")))
-    )
-    within = W.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    # one range survives, so this ordered sum sees one slice of the histogram
-    picked = (
-        histogram.join(F.broadcast(placed.select("range", "before", "target")), "range")
-        .withColumn("upto", F.col("before") + F.sum("n").over(within))
-        .filter(F.col("upto") >= F.col("target"))
-    )
-    return picked.agg(F.coalesce(F.min("value").cast("double"), F.lit(0.0)).alias("value"))
+    counted = df.groupBy(*keys, F.col(column).cast("double").alias("value")).agg(F.count(column).alias("n"))
+    placed = cut_lineage(counted.where("n > 0").repartitionByRange(*keys, "value").withColumn("_part", F.spark_partition_id()))
+    own = [f"_{k}" for k in keys]
+    slices = placed.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own)), F.col("_part").alias("_slice")).agg(F.sum("n").alias("_weight"))
+    by_key = W.partitionBy(*own)  # a row for each partition that the key meets
+    millionths = round(fraction * 1_000_000)
+    before = F.coalesce(F.sum("_weight").over(by_key.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    target = F.floor((F.sum("_weight").over(by_key) * millionths + 999_999) / F.lit(1_000_000).cast("decimal(10,0)"))
+    holding = slices.select(*own, "_slice", "_weight", before.alias("_before"), target.alias("_target")).where(
+        "_before < _target AND _before + _weight >= _target")
+    inside = placed.join(holding, same_keys(keys, own) & (F.col("_part") == F.col("_slice"))).drop(*keys)
+    upto = F.col("_before") + F.sum("n").over(W.partitionBy(*own).orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    found = inside.withColumn("_upto", upto).where("_upto >= _target").groupBy(*own).agg(F.min("value").alias("value"))
+    return df.select(*keys).distinct().join(found, same_keys(keys, own), "left").select(*keys, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 def retrieval_failures(metrics: DataFrame) -> DataFrame:

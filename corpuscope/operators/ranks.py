@@ -35,7 +35,8 @@ def with_positions(df: DataFrame, keys: list[str], order: list[Column | str], na
     on = F.col("_pid") == F.col("_part")
     for k, o in zip(keys, own):
         on = on & F.col(k).eqNullSafe(F.col(o))
-    joined = places.withColumn("_pid", part).join(met, on)
+    # every row has its counts; an outer join cannot send the rows' side out instead
+    joined = places.withColumn("_pid", part).join(met, on, "left")
     extra = [F.col("_total").alias(total)] if total else []
     kept = [c for c in df.columns if c not in (name, total)]
     return joined.select(*kept, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name), *extra)

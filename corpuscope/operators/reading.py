@@ -12,6 +12,7 @@ from corpuscope import params as P
 from corpuscope.functions.paths import base_name, natural_key, safe_path
 from corpuscope.functions.text import head_chars, strip
 from corpuscope.operators.lines import text_lines
+from corpuscope.operators.ranks import with_positions
 
 
 #: longer than any text or line count
@@ -27,11 +28,13 @@ def read_ranges(requests: DataFrame, files: DataFrame, max_lines: int | None = N
     """RET-10: ``requests(request_id, project_id, path, start_line, end_line)``.
 
     Null bounds read the whole file.  Lines keep their own endings.  Without ``max_lines`` and
-    ``max_chars`` nothing is cut.
+    ``max_chars`` nothing is cut; else ``truncated`` tells, and ``shown`` how many lines are left. ``status`` is ``ok``, ``not_found`` or
+    ``bad_path`` (absolute, or out of the project); ``./a//b`` and back slashes are read as ``a/b``.
     """
     max_lines, max_chars = max_lines or _ALL, max_chars or _ALL
     parts = F.split("content", "\n")
-    asked = requests.join(files.select("project_id", "path", "content"), ["project_id", "path"])
+    stored = files.select("project_id", F.col("path").alias("safe"), "content", F.lit(True).alias("found"))
+    asked = requests.withColumn("safe", safe_path("path")).join(stored, ["project_id", "safe"], "left")
     ranged = F.col("start_line").isNotNull() & F.col("end_line").isNotNull()
     rows = (
         asked.withColumn("parts", parts)
@@ -50,14 +53,13 @@ def read_ranges(requests: DataFrame, files: DataFrame, max_lines: int | None = N
             (F.col("content") != "") & ~F.col("content").endswith("\n"), 1).otherwise(0))
     )
     return rows.select(
-        "request_id", "project_id", "path", "content",
+        "request_id", "project_id", F.coalesce("safe", "path").alias("path"), "content",
+        F.when(F.col("safe").isNull(), "bad_path").when(F.col("found"), "ok").otherwise("not_found").alias("status"),
         F.when(ranged, F.col("start_line")).alias("start_line"),
         F.when(ranged & F.col("truncated"), F.col("start_line") + F.col("shown") - 1)
         .when(ranged, F.col("end_line")).alias("end_line"),
         "total_lines", ranged.alias("partial"),
-        F.when(F.col("truncated"), F.concat(
-            F.lit("Truncated: showing the first "), F.col("shown").cast("string"),
-            F.lit(" lines. Request a line range (start_line/end_line) to read more."))).alias("note"))
+        "truncated", "shown")
 
 
 def check_pattern(pattern: str, files: DataFrame) -> None:
@@ -72,7 +74,7 @@ def check_pattern(pattern: str, files: DataFrame) -> None:
 
 def _in_scope(files: DataFrame, path: str | None, max_files: int | None) -> DataFrame:
     if path is not None:
-        return files.filter(F.col("path") == path)
+        return files.filter(F.col("path") == safe_path(F.lit(path)))
     if max_files is None:
         return files
     # first files of a project by path: the bound prunes before the shuffle
@@ -91,16 +93,13 @@ def grep(files: DataFrame, pattern: str, path: str | None = None,
     reproduce the interactive tool; by default nothing is cut.
     """
     check_pattern(pattern, files)
-    order = W.partitionBy("project_id").orderBy("path", "line_no")
-    found = (
-        text_lines(_in_scope(files, path, max_files))
-        .filter(F.col("raw").rlike(pattern))
-        .select("project_id", "path", F.col("line_no").alias("line"),
-                (strip("raw") if line_chars is None else head_chars(strip("raw"), line_chars)).alias("text"), "line_no")
-        .withColumn("position", F.row_number().over(order))
-        .drop("line_no")
-    )
-    return found if max_matches is None else found.filter(F.col("position") <= max_matches)
+    found = text_lines(_in_scope(files, path, max_files)).filter(F.col("raw").rlike(pattern)).select(
+        "project_id", "path", F.col("line_no").alias("line"),
+        (strip("raw") if line_chars is None else head_chars(strip("raw"), line_chars)).alias("text"))
+    if max_matches is None:
+        return with_positions(found, ["project_id"], ["path", "line"])
+    order = W.partitionBy("project_id").orderBy("path", "line")
+    return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= max_matches)
 
 
 def grep_summary(files: DataFrame, matches: DataFrame, max_matches: int | None = None,
@@ -125,9 +124,11 @@ def grep_summary(files: DataFrame, matches: DataFrame, max_matches: int | None =
 
 def list_files(files: DataFrame, limit: int | None = None) -> DataFrame:
     """SRC-6: paths of every project in order, all or the first ``limit``."""
+    listed = files.select("project_id", "path", "language", "size_bytes")
+    if limit is None:
+        return with_positions(listed, ["project_id"], ["path"])
     order = W.partitionBy("project_id").orderBy("path")
-    listed = files.select("project_id", "path", "language", "size_bytes").withColumn("position", F.row_number().over(order))
-    return listed if limit is None else listed.filter(F.col("position") <= limit)
+    return listed.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= limit)
 
 
 def read_by_path(requests: DataFrame, files: DataFrame) -> DataFrame:

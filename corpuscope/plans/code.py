@@ -197,7 +197,7 @@ CALLEES_SQL = REFERENCES_SQL + """,
 counts AS (SELECT project_id, lower(name) AS k, count(*) AS n FROM symbols GROUP BY ALL),
 cand AS (SELECT project_id || '/' || name AS request_id, *,
            row_number() OVER (PARTITION BY project_id, name ORDER BY path, start_line, end_line) AS candidate
-         FROM symbols WHERE kind = 'class'),
+         FROM symbols),
 inside AS (SELECT c.request_id, c.candidate, f.to_name, f.line, f.is_dynamic, c.project_id,
              row_number() OVER (PARTITION BY c.request_id, c.candidate ORDER BY f.line, f.to_name, f.from_symbol) AS position
            FROM cand c JOIN refs f ON f.path = c.path AND f.kind = 'call' AND f.line BETWEEN c.start_line AND c.end_line),
@@ -208,52 +208,44 @@ callees AS MATERIALIZED (SELECT i.request_id, i.candidate, i.position, i.to_name
 """
 
 
-def _class_candidates(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    classes = symbols.filter("kind = 'class'").join(files.select("file_id", "path"), "file_id")
-    return classes.withColumn("request_id", F.concat_ws("/", "project_id", "name"))
+def _candidates(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Every declaration as a candidate of its name."""
+    return symbols.join(files.select("file_id", "path"), "file_id").withColumn("request_id", F.concat_ws("/", "project_id", "name"))
 
 
 @query("callees", f"WITH {CALLEES_SQL} SELECT * FROM callees")
 def callees(t: Tables) -> DataFrame:
-    """Callees of every class."""
+    """Callees of every declaration."""
     files = _files(t)
     symbols, refs = _index(files)
-    return G.callees(_class_candidates(files, symbols), refs, symbols)
+    return G.callees(_candidates(files, symbols), refs, symbols)
 
 
 @query("symbol_notes", f"""WITH {CALLEES_SQL},
 found AS (SELECT request_id, count(*) AS n_candidates FROM cand GROUP BY 1),
-d AS (SELECT c.project_id || '/' || c.name AS request_id, count(*) FILTER (f.is_dynamic) AS n FROM symbols c
+d AS (SELECT c.project_id || '/' || c.name AS request_id, count(*) FILTER (f.is_dynamic) AS n FROM (SELECT DISTINCT project_id, name FROM symbols) c
       JOIN refs f ON f.project_id = c.project_id AND f.kind = 'call'
-      AND lower(string_split(f.to_name, '.')[-1]) = lower(c.name) WHERE c.kind = 'class' GROUP BY 1),
+      AND lower(string_split(f.to_name, '.')[-1]) = lower(c.name) GROUP BY 1),
 u AS (SELECT request_id, count(*) FILTER (NOT resolved) AS n FROM callees GROUP BY 1)
 SELECT f.request_id, n_candidates, coalesce(d.n, 0) AS n_dynamic, coalesce(u.n, 0) AS n_unresolved
 FROM found f LEFT JOIN d USING (request_id) LEFT JOIN u USING (request_id)""")
 def symbol_notes(t: Tables) -> DataFrame:
     files = _files(t)
     symbols, refs = _index(files)
-    candidates = _class_candidates(files, symbols)
+    candidates = _candidates(files, symbols)
     requests = candidates.select("request_id", "project_id", "name").distinct()
     return G.honesty_notes(requests, candidates, G.callers(requests, refs, files),
                            G.callees(candidates, refs, symbols)).drop("notes")
 
 
 @query("symbol_sources", f"""WITH {SYMBOLS_SQL}
-SELECT path, name, least(start_line + 400, end_line)::INT - start_line::INT + 1 AS n_lines
-FROM symbols WHERE kind = 'class'""")
+SELECT path, name, start_line::INT AS start_line, end_line::INT - start_line::INT + 1 AS n_lines FROM symbols""")
 def symbol_sources(t: Tables) -> DataFrame:
-    """GRF-6: source slice of every class (through the range reader)."""
-    from corpuscope.operators.reading import read_ranges
-
+    """GRF-6: the whole source of every declaration, as the lines of the file hold it."""
     files = _files(t)
-    classes = _class_candidates(files, _symbols(files))
-    requests = classes.select(
-        F.struct("path", "name").alias("request_id"), "project_id", "path", "start_line",
-        F.least(F.col("start_line") + 400, F.col("end_line")).alias("end_line"))
-    read = read_ranges(requests, files, max_lines=1000, max_chars=10_000_000)
-    return read.select(
-        "path", "request_id.name",
-        (F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))).alias("n_lines"))
+    sources = G.symbol_sources(_symbols(files), files)
+    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit("")))
+    return sources.select("path", "name", "start_line", lines.alias("n_lines"))
 
 
 @query("call_edges", f"""WITH {REFERENCES_SQL},

@@ -253,18 +253,18 @@ def read_range(t: Tables) -> DataFrame:
 
 @query("read_whole", f"""WITH {FILES_SQL},
 r AS (SELECT doc_id, content, string_split(content, chr(10)) AS parts FROM files),
-n AS (SELECT *, len(parts) - CASE WHEN parts[-1] = '' THEN 1 ELSE 0 END AS total FROM r),
-c AS (SELECT *, CASE WHEN total > 20 THEN array_to_string(parts[1:20], chr(10)) || chr(10) ELSE content END AS cut FROM n)
-SELECT doc_id AS request_id, total::INT AS total_lines, md5(substr(cut, 1, 3000)) AS content_md5,
-  (total > 20 OR length(cut) > 3000) AS truncated FROM c""")
+n AS (SELECT *, len(parts) - CASE WHEN parts[-1] = '' THEN 1 ELSE 0 END AS total FROM r)
+SELECT doc_id AS request_id, CASE doc_id % 4 WHEN 2 THEN 'not_found' WHEN 3 THEN 'bad_path' ELSE 'ok' END AS status,
+  CASE WHEN doc_id % 4 < 2 THEN total END::INT AS total_lines, CASE WHEN doc_id % 4 < 2 THEN md5(content) END AS content_md5 FROM n""")
 def read_whole(t: Tables) -> DataFrame:
-    """RET-10 without bounds, with caps small enough to be reached."""
+    """RET-10 without bounds: whole files, by plain and dotted paths; absent and forbidden ones are told."""
     files = _files(t)
-    requests = files.select(F.regexp_extract("path", r"doc_(\d+)\.txt$", 1).cast("long").alias("request_id"),
-                            "project_id", "path", F.lit(None).cast("int").alias("start_line"),
-                            F.lit(None).cast("int").alias("end_line"))
-    return RD.read_ranges(requests, files, max_lines=20, max_chars=3000).select(
-        "request_id", "total_lines", F.md5("content").alias("content_md5"), F.col("note").isNotNull().alias("truncated"))
+    doc = F.regexp_extract("path", r"doc_(\d+)\.txt$", 1).cast("long")
+    varied = F.when(doc % 4 == 0, F.col("path")).when(doc % 4 == 1, F.concat(F.lit("./"), F.replace("path", F.lit("/"), F.lit("//")))) \
+        .when(doc % 4 == 2, F.concat("path", F.lit(".bak"))).otherwise(F.concat(F.lit("../"), "path"))
+    none = F.lit(None).cast("int")
+    requests = files.select(doc.alias("request_id"), "project_id", varied.alias("path"), none.alias("start_line"), none.alias("end_line"))
+    return RD.read_ranges(requests, files).select("request_id", "status", "total_lines", F.md5("content").alias("content_md5"))
 
 
 @query("list_files", f"""WITH {FILES_SQL}, r AS (SELECT project_id, path, size_bytes,

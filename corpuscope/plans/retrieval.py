@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from corpuscope.operators import evaluation as E
 from corpuscope.operators import retrieval as R
 from corpuscope.plans.derived import text_files
 from corpuscope.plans.registry import Tables, query
+from corpuscope.session import ensure_checkpoint_dir
 
 DIM = 64
 
@@ -44,7 +47,7 @@ top10 AS MATERIALIZED (SELECT * FROM ranked WHERE rank <= 10)
 
 def _top10(t: Tables) -> DataFrame:
     return R.vector_topk(_queries(t).select("query_id", "embedding"), _chunks(t).select("chunk_id", "embedding"),
-                         10, exclude_self=True, dim_hint=DIM)
+                         10, exclude_self=True)
 
 
 @query("vector_topk_batch", f"WITH {TOPK_SQL} SELECT query_id, chunk_id, rank, round(similarity, 5) AS similarity FROM top10")
@@ -59,7 +62,7 @@ WHERE c.vec_id <> q.vec_id ORDER BY {SIM_SQL} DESC, c.vec_id LIMIT 10""")
 def vector_topk_single(t: Tables) -> DataFrame:
     first = t.embeddings.orderBy("vec_id").limit(1).select(F.col("vec_id").alias("query_id"), "embedding")
     found = R.vector_topk(first, _chunks(t).select("chunk_id", "embedding"), 10,
-                          exclude_self=True, dim_hint=DIM)
+                          exclude_self=True)
     return found.select("chunk_id", F.round("similarity", 5).alias("similarity"))
 
 
@@ -73,15 +76,33 @@ def vector_topk_scoped(t: Tables) -> DataFrame:
     found = R.vector_topk(
         _queries(t).select("query_id", "embedding", F.col("label").alias("scope")),
         _chunks(t).select("chunk_id", "embedding", F.col("label").alias("scope")),
-        5, exclude_self=True, dim_hint=DIM)
+        5, exclude_self=True)
     return found.select("query_id", "chunk_id", "rank", F.round("similarity", 5).alias("similarity"))
 
 
+def _approximate(t: Tables) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(t.spark)}/cells-{uuid.uuid4().hex}"
+    queries = _queries(t).select("query_id", "embedding")
+    R.build_cells(_chunks(t), folder)
+    R.audit_cells(queries, folder, 10, exclude_self=True)
+    return R.approximate_topk(queries, folder, 10, exclude_self=True)
+
+
 @query("vector_topk_approximate")
 def vector_topk_approximate(t: Tables) -> DataFrame:
-    cells = R.with_cell(_chunks(t).select("chunk_id", "embedding"))
-    return R.approximate_topk(_queries(t).select("query_id", "embedding"), cells, 10,
-                              exclude_self=True, dim_hint=DIM)
+    """RET-3 over cells learned from the vectors."""
+    return _approximate(t).select("query_id", "chunk_id", "rank", "similarity")
+
+
+@query("vector_recall", f"""WITH {TOPK_SQL} SELECT query_id, count(*) AS n_found, true AS nine_of_ten FROM top10 GROUP BY query_id""")
+def vector_recall(t: Tables) -> DataFrame:
+    """RET-3: whether each query finds nine tenths of its exact top ten, as the audit promises."""
+    exact = _top10(t).select("query_id", "chunk_id")
+    found = _approximate(t).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    counts = found.groupBy("query_id").agg(F.count("*").alias("n_found"))
+    hits = exact.join(found, ["query_id", "chunk_id"], "left").groupBy("query_id").agg(
+        (F.count("hit") >= 0.9 * F.count("*")).alias("nine_of_ten"))
+    return counts.join(hits, "query_id")
 
 
 @query("cosine_similarity", """

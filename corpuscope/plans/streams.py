@@ -49,24 +49,22 @@ def _archives(t: Tables) -> DataFrame:
 
 @query("archive_entries", """
 WITH d AS (SELECT doc_id::VARCHAR AS archive_id, doc_id, octet_length(encode(text))::BIGINT AS n FROM documents)
-SELECT archive_id, 'src/doc_' || doc_id || '.md' AS path, CASE WHEN n > 5000 THEN 5001 ELSE n END AS size_seen FROM d
+SELECT archive_id, 'src/doc_' || doc_id || '.md' AS path, n AS size FROM d
 UNION ALL SELECT archive_id, 'src/', 0 FROM d UNION ALL SELECT archive_id, '.git/HEAD', 3 FROM d
-UNION ALL SELECT archive_id, 'conf/.env', 8 FROM d UNION ALL SELECT archive_id, '../escape.md', CASE WHEN n > 5000 THEN 5001 ELSE n END FROM d
+UNION ALL SELECT archive_id, 'conf/.env', 8 FROM d UNION ALL SELECT archive_id, '../escape.md', n FROM d
 UNION ALL SELECT archive_id, 'src/broken.md', 3 FROM d WHERE doc_id % 10 = 0""")
 def archive_entries(t: Tables) -> DataFrame:
-    """SRC-1: every entry; one byte past the limit proves a breach."""
-    return explode_archives(_archives(t), max_file=5000).select(
-        "archive_id", "path", F.least("size", F.lit(5001)).alias("size_seen"))
+    """SRC-1: every entry and its size."""
+    return explode_archives(_archives(t)).select("archive_id", "path", "size")
 
 
 @query("archive_files", """
 SELECT doc_id::VARCHAR AS archive_id, 'src/doc_' || doc_id || '.md' AS path, md5(text) AS content_hash FROM documents
-  WHERE octet_length(encode(text)) <= 20000
-UNION ALL SELECT doc_id::VARCHAR, 'src/broken.md', md5(from_hex('6F6BC3')) FROM documents WHERE doc_id % 10 = 0 AND octet_length(encode(text)) <= 20000""")
+  WHERE octet_length(encode(text)) <= 1000000
+UNION ALL SELECT doc_id::VARCHAR, 'src/broken.md', md5(from_hex('6F6BC3')) FROM documents WHERE doc_id % 10 = 0 AND octet_length(encode(text)) <= 1000000""")
 def archive_files(t: Tables) -> DataFrame:
     """SRC-1 + FLT-1 .. FLT-4: kept files of the accepted archives."""
-    entries = explode_archives(_archives(t), max_file=20_000)
-    kept = kept_archive_files(accepted_entries(entries, max_file=20_000))
+    kept = kept_archive_files(accepted_entries(explode_archives(_archives(t))))
     return kept.select("archive_id", "path", F.md5("content").alias("content_hash"))
 
 

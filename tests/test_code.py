@@ -224,6 +224,10 @@ def test_symbol_queries(corpus, spark):
     inside = G.callees(hits, refs, symbols)
     assert _rows(inside.filter("request_id = 3"), "to_name", "resolved") == {("fmt.Sprint", False)}
     notes = {r.request_id: r.notes for r in G.honesty_notes(asked, hits, calls, inside).collect()}
-    assert notes[2][0].startswith("No declared symbol") and "Multiple declarations" in notes[1][-1]
+    assert notes[2] == ["undeclared"] and notes[1][-1] == "several_declarations"
+    texts = {(r.path, r.name, r.start_line): r.content for r in G.symbol_sources(symbols, files).collect()}
+    whole = {r.path: r.content for r in files.collect()}
+    spans = {(r.path, r.name, r.start_line): r.end_line for r in G.symbol_listing(symbols, files).collect()}
+    assert texts == {k: "".join(whole[k[0]].splitlines(keepends=True)[k[2] - 1:end]) for k, end in spans.items()}
     linked = G.referenced_by(files.select("project_id", "file_id"), refs, symbols, files).join(files.select("file_id", "path"), "file_id")
     assert ("m/m.go", "a/b/Foo.java") in _rows(linked, "path", "caller_path")

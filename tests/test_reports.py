@@ -1,10 +1,13 @@
 """Metrics, citations, traces and evidence: hand-computed cases."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from corpuscope.operators import citations as CI
 from corpuscope.operators import debugging as D
 from corpuscope.operators import evaluation as E
+from corpuscope.operators.ranks import with_positions
 
 
 def _metrics(spark, retrieved, relevant, ks=(3,)):
@@ -32,12 +35,56 @@ def test_gate(spark):
 
 
 def test_nearest_rank(spark):
-    for n in (1, 20, 36, 40, 60, 100):
-        frame = spark.range(1, n + 1).select((F.col("id") / 10).alias("x"))
-        expected = sorted(range(1, n + 1))[-(-95 * n // 100) - 1] / 10
-        assert E.exact_nearest_rank(frame, "x", 0.95).first().value == expected
-        assert frame.agg(E.nearest_rank("x").alias("v")).first().v == expected
-    assert E.exact_nearest_rank(spark.range(0).select(F.col("id").cast("double").alias("x")), "x", 0.95).first().value == 0
+    """Ranks of small, hot, null and empty keys; one key holds most rows and one value many of them."""
+    rng = random.Random(5)
+    rows = [(f"n{n}", i / 10) for n in (1, 20, 36, 40, 60, 100, 180) for i in range(1, n + 1)]
+    rows += [("hot", float(rng.randrange(5000))) for _ in range(12_000)] + [("hot", 7.0)] * 4000
+    rows += [(None, 1.0), (None, -2.5), ("void", None), ("huge", 1e300), ("huge", -1e300), ("huge", 0.0)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "key string, x double").repartition(7)
+    for percent in (5, 50, 95, 100):
+        got = {r.key: r.value for r in E.nearest_ranks(frame, "x", percent / 100, ["key"]).collect()}
+        assert set(got) == {k for k, _ in rows}
+        for key in got:
+            own = sorted(x for k, x in rows if k == key and x is not None)
+            assert got[key] == (own[-(-percent * len(own) // 100) - 1] if own else 0.0), key
+    assert E.nearest_ranks(frame.limit(0), "x", 0.95, ["key"]).count() == 0
+
+
+def test_positions_of_a_hot_key(spark):
+    """A third of the rows has one key; its rows are ranked in many tasks, and the ranks are whole."""
+    rng = random.Random(6)
+    rows = [("hot" if i % 3 == 0 else f"k{rng.randrange(90)}" if i % 7 else None, rng.randrange(10**6), i) for i in range(60_000)]
+    frame = spark.createDataFrame(rows, "key string, x int, tie int").repartition(16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        ranked = with_positions(frame, ["key"], ["x", "tie"], total="n").withColumn("part", F.spark_partition_id())
+        got = ranked.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len({r.part for r in got if r.key == "hot"}) >= 16
+    want = {}
+    for key in {k for k, _, _ in rows}:
+        own = sorted(r[1:] for r in rows if r[0] == key)
+        want |= {(key, *r): (i + 1, len(own)) for i, r in enumerate(own)}
+    assert {(r.key, r.x, r.tie): (r.position, r.n) for r in got} == want
+
+
+def test_terms_in_lines(spark):
+    """Literal terms of any length, special characters and hot grams against a plain scan."""
+    rng = random.Random(7)
+    words = ["the", "a.b(c)", "ab", "x", "tion", "é", "%", "thesis"]
+    files = [("p" if i % 3 else "q", f"f{i}.txt", "\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(12))) for i in range(30)]
+    terms = [("p", t) for t in ("the", "a.b(c) the", "x", "ab", "absent", "é %", "", "thesis ab")] + [("q", "the"), ("r", "the")]
+    frame = spark.createDataFrame([(p, p + f, f, c) for p, f, c in files], "project_id string, file_id string, path string, content string")
+    asked = spark.createDataFrame(terms * 2, "project_id string, term string")
+    got = sorted(map(tuple, D.grep_terms(asked, frame).collect()))
+    want = sorted((p, t, f, n + 1) for p, t in terms for q, f, c in files if p == q and t for n, line in enumerate(c.split("\n")) if t in line)
+    assert got == want
+    first = D.grep_terms(asked, frame, per_term=3).collect()
+    assert sorted(map(tuple, first)) == sorted(r for p, t in terms for r in sorted(x for x in want if x[:2] == (p, t))[:3])
 
 
 def _citations(spark, text, strict=False):
@@ -106,6 +153,25 @@ def test_clues(spark):
     assert [(x.file, x.line) for x in row.file_lines] == [("a/b.py", "3")] and row.bare_files == ["a/b.py", "c.go"]
 
 
+def test_clue_limits(spark):
+    text = " ".join(f"'text {i}' Err{i:02}Error f{i}.py:{i}" for i in range(30))
+    frame = spark.createDataFrame([(1, "p", text)], "report_id int, project_id string, description string")
+    frames = spark.createDataFrame([(1, f"a.s{i:02}") for i in range(20)] * 2, "trace_id int, symbol string")
+    row = D.extract_clues(frame, frames).first()
+    assert [len(row[c]) for c in ("error_strings", "exc_names", "file_lines", "bare_files", "symbols")] == [30, 30, 30, 30, 20]
+    cut = D.extract_clues(frame, frames, limits=D.Limits.interactive()).first()
+    assert [len(cut[c]) for c in ("error_strings", "exc_names", "file_lines", "bare_files", "symbols")] == [8, 6, 8, 8, 8]
+    assert cut.symbols == row.symbols[:8] and cut.error_strings == row.error_strings[:8]
+
+
+def test_evidence_order(spark):
+    rows = [(1, "p", 4, 0, "z.py", 9), (1, "p", 4, 0, "a.py", 30), (1, "p", 4, 1, "a.py", 2), (1, "p", 0, 1, "m.py", 5), (1, "p", 5, 1, "m.py", 1), (1, "p", 3, 0, "n.py", None)]
+    frame = spark.createDataFrame(rows, "report_id int, project_id string, source int, seq long, path string, line int")
+    got = [tuple(r) for r in D.merge_evidence(frame).select("position", "path", "line", "source").orderBy("position").collect()]
+    assert got == [(1, "m.py", 5, 0), (2, "n.py", None, 3), (3, "a.py", 30, 4), (4, "z.py", 9, 4)]
+    assert D.merge_evidence(frame, 2).count() == 2
+
+
 def test_questions(spark):
     rows = [("q1", "r", "x", "locate", ["a.py"], [[1, 3]], ["f", "g"]), ("q2", "r", None, "odd", ["no.py"], [[5, 2]], ["f"]),
             ("q3", "zz", "x", "locate", ["a.py"], None, ["f", "g"]), ("q4", "r", "x", "explain", ["a.py"], [[2, 99]], ["f", "g"])]

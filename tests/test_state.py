@@ -6,6 +6,7 @@ import os
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,17 +122,65 @@ def test_trim_stubs_oldest_results(spark):
         assert got == brute(budget)
 
 
-def test_grid_equals_broadcast_and_probe_recall(spark):
+def _cosines(rows):
+    x = np.array([v for _, v in rows], float)
+    norms = np.linalg.norm(x, axis=1, keepdims=True)
+    x = x / np.where(norms == 0, 1, norms)
+    return np.round(x @ x.T, 9)
+
+
+def test_topk_in_small_tiles(spark):
+    """Blocks of a few queries and tiles of a few values give the exact lists; copies of a vector tie by id."""
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(16)]) for i in range(300)]
-    chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
-    queries = chunks.filter("chunk_id < 40").withColumnRenamed("chunk_id", "query_id")
-    exact = {(r.query_id, r.chunk_id, r.rank) for r in R.vector_topk(queries, chunks, 5, True, 16).collect()}
-    grid = {(r.query_id, r.chunk_id, r.rank) for r in R._topk_grid(queries, chunks, 5, True, 17).collect()}
-    assert exact == grid and len(exact) == 200
-    near = R.approximate_topk(queries, R.with_cell(chunks, bits=4), 5, probes=10, bits=4, exclude_self=True, dim_hint=16)
-    pairs = {(r.query_id, r.chunk_id) for r in near.collect()}
-    assert len(pairs & {e[:2] for e in exact}) / 200 > 0.8
+    rows += [(300 + i, rows[7][1]) for i in range(120)] + [(500, [0.0] * 16)]
+    schema = "chunk_id long, embedding array<float>, scope string"
+    scope = {i: f"s{i % 3}" if i % 5 else None for i, _ in rows}
+    chunks = spark.createDataFrame([(i, v, scope[i]) for i, v in rows] + [(999, None, "s1")], schema).repartition(5)
+    asked = [i for i, _ in rows if i < 40 or i == 500]
+    queries = chunks.filter(F.col("chunk_id").isin(asked)).withColumnRenamed("chunk_id", "query_id")
+    score, ids = _cosines(rows), [i for i, _ in rows]
+
+    def brute(scoped):
+        out = set()
+        for a, query in enumerate(ids):
+            if query in asked:
+                near = [(-score[a][b], c) for b, c in enumerate(ids) if c != query and (not scoped or scope[c] is not None and scope[c] == scope[query])]
+                out |= {(query, c, n + 1) for n, (_, c) in enumerate(sorted(near)[:5])}
+        return out
+
+    for sizes in ({}, {"block_bytes": 1000, "tile_bytes": 2000}, {"tile_bytes": 8}):
+        got = R.vector_topk(queries.drop("scope"), chunks.drop("scope"), 5, True, **sizes)
+        assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == brute(False)
+    got = R.vector_topk(queries, chunks, 5, True, block_bytes=1000, tile_bytes=2000)
+    assert {(r.query_id, r.chunk_id, r.rank) for r in got.collect()} == brute(True)
+    assert R.vector_topk(queries.limit(0), chunks, 5).count() == 0
+
+
+def test_learned_cells(spark, tmp_path):
+    """Cells grow with the rows; audited queries find nine tenths of their exact lists, reading few cells where vectors cluster."""
+    counts = []
+    for size, spread in ((400, 1.0), (3000, 0.15)):
+        random_ = np.random.default_rng(size)
+        centers = random_.standard_normal((30, 16))
+        x = centers[random_.integers(0, 30, size)] + spread * random_.standard_normal((size, 16))
+        rows = [(i, v.tolist()) for i, v in enumerate(x)]
+        chunks = spark.createDataFrame(rows, "chunk_id long, embedding array<float>")
+        queries = chunks.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+        folder = str(tmp_path / f"cells{size}")
+        R.build_cells(chunks, folder)
+        R.audit_cells(queries, folder, 10, exclude_self=True)
+        vectors, learned = R.read_cells(spark, folder)
+        counts.append(len(learned))
+        assert vectors.count() == size
+        score = _cosines(rows)
+        found = {}
+        for r in R.approximate_topk(queries, folder, 10, exclude_self=True, block_bytes=4000).collect():
+            found.setdefault(r.query_id, set()).add(r.chunk_id)
+        for query in range(0, size, 20):
+            exact = sorted((c for c in range(size) if c != query), key=lambda c: (-score[query][c], c))[:10]
+            assert len(found[query] & set(exact)) >= 9
+    assert counts[0] == R.cell_count(400) < counts[1] == R.cell_count(3000)
 
 
 def test_registered_approximate_search_reaches_recall(spark, monkeypatch):
@@ -165,8 +214,8 @@ def test_read_and_grep(spark):
     asked = spark.createDataFrame([(1, "p", "a.py", 2, 9), (2, "p", "a.py", None, None)],
                                   "request_id int, project_id string, path string, start_line int, end_line int")
     got = {r.request_id: r for r in RD.read_ranges(asked, files, max_lines=2).collect()}
-    assert got[1].content == "bar (1)\ny" and got[1].end_line == 9 and got[1].note is None
-    assert got[2].content == "x\nbar (1)\n" and got[2].note.startswith("Truncated: showing the first 2 lines")
+    assert got[1].content == "bar (1)\ny" and got[1].end_line == 9 and not got[1].truncated
+    assert got[2].content == "x\nbar (1)\n" and got[2].truncated and got[2].shown == 2
 
 
 def test_archive_limits(spark):
