@@ -1,6 +1,7 @@
 """License scans by patience alignment of texts with notice templates.
 
-Places where two neighbouring words of a template stand together start a region around them. In a
+A notice that covers enough of a template holds at least one of its rarest words, as many of them as may
+be missing and one more; the places of these words start regions around them. In a
 region, words that occur once in the region and once in the template are anchors; the longest
 increasing subsequence of their places fixes the alignment, and the gaps between anchors
 are aligned the same way. Coverage is the aligned share of the template's words.
@@ -8,6 +9,8 @@ are aligned the same way. Coverage is the aligned share of the template's words.
 
 from __future__ import annotations
 
+import math
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
@@ -78,33 +81,40 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 class Templates:
-    def __init__(self, templates: list[tuple[str, str]]):
+    """Templates with the words whose places start a region (by length: long words are rare; any choice finds all)."""
+
+    def __init__(self, templates: list[tuple[str, str]], coverage: float):
         self.rows = []
         for name, text in templates:
             words = _hashes([text.encode()])[0]
-            if len(words) > 1:
-                self.rows.append((name, words.tolist(), np.unique(A.word_grams(words, 2))))
-        self.pairs = np.unique(np.concatenate([p for _, _, p in self.rows])) if self.rows else np.zeros(0, np.uint64)
+            if not len(words):
+                continue
+            need = math.ceil(coverage * len(words) - 1e-9)
+            length = [len(w) for w in re.split(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", text) if w]
+            rare = np.argsort(-np.array(length), kind="stable")[:len(words) - need + 1]
+            self.rows.append((name, words.tolist(), np.unique(words[rare]), np.unique(words), need))
+        self.seeds = np.unique(np.concatenate([r[2] for r in self.rows])) if self.rows else np.zeros(0, np.uint64)
         self.bits = np.zeros(1 << 16, bool)
-        self.bits[self.pairs >> np.uint64(48)] = True
+        self.bits[self.seeds >> np.uint64(48)] = True
 
     def regions(self, hashes: np.ndarray, edges: np.ndarray):
-        """(row, template, first word, last word) of the places to align, widened by a template's length."""
-        pairs = A.word_grams(hashes, 2)
-        at = np.flatnonzero(self.bits[pairs >> np.uint64(48)])
-        at = at[np.isin(pairs[at], self.pairs)]
+        """(row, template, first word, last word) of the places to align: stretches of twice a template's length around a
+        seed, where enough words are the template's."""
+        at = np.flatnonzero(self.bits[hashes >> np.uint64(48)])
+        at = at[np.isin(hashes[at], self.seeds)]
         doc = np.searchsorted(edges, at, side="right") - 1
-        same = at + 1 < edges[doc + 1]
-        at, doc = at[same], doc[same]
-        for t, (_, words, own) in enumerate(self.rows):
-            hit = np.isin(pairs[at], own)
+        for t, (_, words, own, every, need) in enumerate(self.rows):
+            hit = np.isin(hashes[at], own)
             spot, row, n = at[hit], doc[hit], len(words)
             if not len(spot):
                 continue
-            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (np.diff(spot) > n))))
+            new = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (np.diff(spot) > 2 * n))))
             for low, high in zip(new, np.append(new[1:], len(spot))):
                 r = row[low]
-                yield int(r), t, max(int(edges[r]), int(spot[low]) - n), min(int(edges[r + 1]), int(spot[high - 1]) + n + 2)
+                a, b = max(int(edges[r]), int(spot[low]) - 2 * n + 1), min(int(edges[r + 1]), int(spot[high - 1]) + 2 * n)
+                known = np.concatenate(([0], np.cumsum(np.isin(hashes[a:b], every))))
+                if (known[np.minimum(np.arange(b - a) + 2 * n, b - a)] - known[:-1]).max() >= need:
+                    yield int(r), t, a, b
 
 
 def _hashes(texts: list[bytes]):
@@ -121,7 +131,7 @@ def best_cover(words: list, template: list) -> tuple[int, int, int]:
     """
     n, best = len(template), (0, 0, 0)
     known = set(template)
-    for low in range(0, max(1, len(words) - 1)):
+    for low in range(len(words)):
         if words[low] not in known:
             continue
         pairs = patience(words[low:low + 2 * n], template)
@@ -141,23 +151,23 @@ def scan_licenses(docs: DataFrame, templates: Iterable[tuple[str, str]] = TEMPLA
     A place counts for the template that covers it best (ties: the longer one, then the name);
     each template is reported once a document row, at its best and earliest place. Words are
     runs of anything but ASCII punctuation and white space, A-Z as a-z. Null and empty texts
-    have no rows; repeated rows are reported again; templates of one word are left out.
+    have no rows; repeated rows are reported again.
     """
     listed = sorted(templates)
     if sum(len(t.encode()) for _, t in listed) > TEMPLATE_BYTES:
         raise ValueError("templates exceed the size that may be broadcast")
 
     def scan(batches):
-        known = Templates(listed)
+        known = Templates(listed, coverage)
         for batch in batches:
             texts, ids, out = A.as_bytes(batch["text"]), batch["doc_id"].to_pylist(), []
             for part in A.text_chunks(texts):
                 hashes, edges = _hashes(texts[part])
                 places: dict[int, list] = {}
-                for row, t, low, high in known.regions(hashes, edges) if len(known.pairs) else ():
-                    name, words, _ = known.rows[t]
+                for row, t, low, high in known.regions(hashes, edges) if len(known.seeds) else ():
+                    name, words, _, _, need = known.rows[t]
                     got, first, last = best_cover(hashes[low:high].tolist(), words)
-                    if got >= coverage * len(words):
+                    if got >= need:
                         places.setdefault(row, []).append((got / len(words), len(words), name, low + first - int(edges[row]), low + last - int(edges[row])))
                 for row, hits in places.items():
                     kept: dict[str, tuple] = {}
