@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.functions.languages import SYMBOL_LANGUAGES, language_of
 from corpuscope.functions.text import content_md5, split_lines
+from corpuscope.session import cut_lineage
 
 _STRING = r"""(?P<q>["'{tick}])(?:\\[^\n]|(?!(?P=q))[^\\\n])*(?:(?P=q)|\\?(?=\n|\Z))"""
 _BRACE_TOKENS = re.compile(
@@ -112,15 +113,25 @@ def line_counts(files: DataFrame) -> DataFrame:
                         F.size(split_lines("content")).alias("n_lines"))
 
 
+def lex(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Symbol-capable files with their lexed form; files that have it stay as they are."""
+    if "lexed" in files.columns:
+        return files
+    return files.filter(F.col("language").isin(*SYMBOL_LANGUAGES)).select(
+        "project_id", "file_id", "path", "language", "content", _lexer(strict)("content", "language").alias("lexed"))
+
+
+def lex_once(files: DataFrame, strict: bool = False) -> DataFrame:
+    """The lexed files, written once: every operator that takes files takes them as well, and lexes nothing again."""
+    return cut_lineage(lex(files, strict))
+
+
 def lexed_files(files: DataFrame, strict: bool = False) -> DataFrame:
     """Symbol-capable files with ``raw``/``code`` line arrays and the mask."""
-    capable = files.filter(F.col("language").isin(*SYMBOL_LANGUAGES))
     return (
         # lex first: a Python node hides the partitioning below it, so the one
         # shuffle by file comes after it and serves every later window
-        capable.select("project_id", "file_id", "path", "language", "content",
-                       _lexer(strict)("content", "language").alias("lexed"))
-        .repartition("file_id")
+        lex(files, strict).repartition("file_id")
         .withColumn("raw", split_lines("content"))
         .select("project_id", "file_id", "path", "language", "raw",
                 F.split("lexed.code", "\n").alias("code"), F.col("lexed.docstring").alias("docstring"))

@@ -10,6 +10,7 @@ from corpuscope.operators import conversations as CV
 from corpuscope.operators import evaluation as E
 from corpuscope.operators import jobs as J
 from corpuscope.operators import ratelimit as RL
+from corpuscope.operators.transitions import job_states
 from corpuscope.plans.registry import Tables, query
 
 NOW = "2024-01-20 00:00:00"
@@ -362,13 +363,13 @@ def _fold_view(state: DataFrame) -> DataFrame:
 @query("job_state_fold", FOLD_RESULT_SQL)
 def job_state_fold(t: Tables) -> DataFrame:
     """STR-2: lifecycle of every job from its events."""
-    return _fold_view(J.job_states(_job_events(t)))
+    return _fold_view(job_states(_job_events(t)))
 
 
 @query("job_state_rounds", FOLD_RESULT_SQL)
 def job_state_rounds(t: Tables) -> DataFrame:
-    """STR-2 by rounds of effective transitions (the path for very busy jobs)."""
-    return _fold_view(J.replay_busy_jobs(_job_events(t)))
+    """STR-2 with the log in many partitions, so that jobs are cut and their maps chained."""
+    return _fold_view(job_states(_job_events(t), partitions=97))
 
 
 # ---- request limits ---------------------------------------------------------------

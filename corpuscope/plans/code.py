@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions.grammar import BRACE_CALL_NOISE, PY_CALL_NOISE
 from corpuscope.operators import chunking as C
 from corpuscope.operators import graph as G
-from corpuscope.operators.lines import code_lines
+from corpuscope.operators.lines import code_lines, lex_once
 from corpuscope.operators.references import references_of
 from corpuscope.operators.symbols import structure, symbols_of, with_depth
 from corpuscope.plans.derived import CODE_SQL, code_files, words_of
@@ -70,9 +70,10 @@ def _files(t: Tables) -> DataFrame:
 
 
 def _index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols and references; the shared items are fixed once."""
-    items = cut_lineage(structure(files))
-    return symbols_of(items), references_of(files, items)
+    """Symbols and references from files that are lexed once; the shared items are fixed once."""
+    lexed = lex_once(files)
+    items = cut_lineage(structure(lexed))
+    return symbols_of(items), references_of(lexed, items)
 
 
 def _symbols(files: DataFrame) -> DataFrame:
@@ -80,7 +81,13 @@ def _symbols(files: DataFrame) -> DataFrame:
 
 
 def _references(files: DataFrame) -> DataFrame:
-    return references_of(files, structure(files))
+    lexed = lex_once(files)
+    return references_of(lexed, structure(lexed))
+
+
+def _chunks(files: DataFrame) -> DataFrame:
+    lexed = lex_once(files)
+    return C.chunk_files(files, structure(lexed), lexed=lexed)
 
 
 @query("code_symbols", f"WITH {SYMBOLS_SQL} SELECT path, name, kind, parent_symbol, start_line::INT AS start_line, end_line::INT AS end_line FROM symbols")
@@ -113,7 +120,7 @@ def code_depth(t: Tables) -> DataFrame:
 @query("code_chunks")
 def code_chunks(t: Tables) -> DataFrame:
     files = _files(t)
-    return C.chunk_files(files, structure(files)).select(
+    return _chunks(files).select(
         "path", "start_line", "end_line", "chunk_type", "symbol", "parent_symbol", "token_count",
         F.md5("content").alias("content_md5"))
 
@@ -126,7 +133,7 @@ def code_chunk_fidelity(t: Tables) -> DataFrame:
     from corpuscope.functions.text import line_range, split_lines
 
     files = _files(t)
-    chunks = C.chunk_files(files, structure(files))
+    chunks = _chunks(files)
     lines = files.select("file_id", split_lines("content").alias("lines"))
     joined = chunks.join(lines, "file_id")
     return joined.groupBy("path").agg(
@@ -138,7 +145,7 @@ def code_chunk_fidelity(t: Tables) -> DataFrame:
 @query("embed_chunks")
 def embed_chunks(t: Tables) -> DataFrame:
     files = _files(t)
-    embedded = C.attach_embeddings(C.chunk_files(files, structure(files)), dim=64)
+    embedded = C.attach_embeddings(_chunks(files), dim=64)
     return embedded.select("chunk_id", F.size("embedding").alias("dim"),
                            F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm2"))
 

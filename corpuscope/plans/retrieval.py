@@ -14,6 +14,7 @@ from corpuscope.operators import retrieval as R
 from corpuscope.plans.derived import text_files
 from corpuscope.plans.registry import Tables, query
 from corpuscope.session import ensure_checkpoint_dir
+from corpuscope.sources import sinks
 
 DIM = 64
 
@@ -157,6 +158,18 @@ def query_metrics(t: Tables) -> DataFrame:
     return E.query_metrics(_judged(t)).select("query_id", *_rounded())
 
 
+@query("eval_results", f"""WITH {METRIC_SQL}, one AS (SELECT {MEAN_SQL} FROM metrics)
+SELECT query_id, {ROUNDED_SQL}, (SELECT mrr FROM one) AS mean_mrr FROM metrics""")
+def eval_results(t: Tables) -> DataFrame:
+    """SRC-10: aggregate and per-question results, written as JSON and read back."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/eval-{uuid.uuid4().hex}"
+    per_question = query_metrics(t)
+    aggregate = _aggregate(t).select(*_rounded())
+    sinks.write_results(aggregate, per_question, folder)
+    mean = t.spark.read.schema(aggregate.schema).json(f"{folder}/eval_aggregate").select(F.col("mrr").alias("mean_mrr"))
+    return t.spark.read.schema(per_question.schema).json(f"{folder}/eval_results").join(F.broadcast(mean))
+
+
 def _aggregate(t: Tables) -> DataFrame:
     metrics = E.query_metrics(_judged(t)).withColumn("error", F.lit(None).cast("string"))
     return E.macro_average(metrics)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscope.operators.chunking import attach_embeddings, chunk_files
+from corpuscope.operators.lines import lex_once
 from corpuscope.operators.references import references_of
 from corpuscope.operators.symbols import structure, symbols_of
 from corpuscope.schemas import CHUNKS, FAILED_FILES, FILES, MANIFEST, REFERENCES, SYMBOLS
@@ -117,11 +118,12 @@ def write_index(files: DataFrame, folder: str, version: str, strict: bool = Fals
     spark = files.sparkSession
     write_version(files.select(FILES.names), folder, "files", version)
     files = _stored(spark, folder, "files", version)
-    items = cut_lineage(structure(files, strict))
+    lexed = lex_once(files, strict)
+    items = cut_lineage(structure(lexed, strict))
     embedded = {} if dim is None else {"dim": dim}
     write_version(symbols_of(items).select(SYMBOLS.names), folder, "code_symbols", version)
-    write_version(references_of(files, items, strict).select(REFERENCES.names), folder, "code_references", version)
-    write_version(attach_embeddings(chunk_files(files, items, strict), **embedded).select(CHUNKS.names), folder, "chunks", version)
+    write_version(references_of(lexed, items, strict).select(REFERENCES.names), folder, "code_references", version)
+    write_version(attach_embeddings(chunk_files(files, items, strict, lexed), **embedded).select(CHUNKS.names), folder, "chunks", version)
 
 
 def index_projects(files: DataFrame, folder: str, strict: bool = False, dim: int | None = None) -> str:

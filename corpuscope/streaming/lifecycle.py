@@ -16,13 +16,13 @@ from corpuscope.functions.text import millis, overall_progress
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OUTPUT = "job_id long, status string, attempts int, progress_percent int, next_run_ms long, locked_ms long, at_ms long"
-_STATE = "status string, attempts int, progress int, next_run long, locked long"
+OUTPUT = "job_id long, status string, attempts int, progress_percent int, next_run_ms long, locked_ms long, late_events long, at_ms long"
+_STATE = "status string, attempts int, progress int, next_run long, locked long, late long"
 _TERMINAL = ("ready", "error", "cancelled")
 
 
 class JobLifecycle(StatefulProcessor):
-    """Folds ``enqueue, claim, heartbeat, complete, fail, cancel, requeue``.
+    """Folds ``enqueue, claim, heartbeat, complete, fail, cancel, requeue``; an event behind the watermark only counts as late.
 
     Emits the state after every micro-batch that touched the job.  With
     ``auto_requeue`` a lease that is not renewed in time puts the job back in
@@ -39,19 +39,21 @@ class JobLifecycle(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        state = tuple(self.job.get()) if self.job.exists() else ("none", 0, 0, None, None)
-        for event, ms, percent in zip(batch["event"], batch["ms"], batch["percent"]):
+        *state, late = tuple(self.job.get()) if self.job.exists() else ("none", 0, 0, None, None, 0)
+        behind = batch["ms"] < timerValues.getCurrentWatermarkInMs()
+        late, known, state = late + int(behind.sum()), batch[~behind], tuple(state)
+        for event, ms, percent in zip(known["event"], known["ms"], known["percent"]):
             state = self.advance(state, event, int(ms), int(percent))
-        self.job.update(state)
+        self.job.update((*state, late))
         if self.auto_requeue and state[0] == "processing":
             self.handle.registerTimer(state[4] + self.stale_ms + 1)
-        yield self.row(key, state, int(batch["ms"].iloc[-1]))
+        yield self.row(key, (*state, late), int(batch["ms"].iloc[-1]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
         state = tuple(self.job.get()) if self.job.exists() else None
         if state and state[0] == "processing" and state[4] + self.stale_ms < due:
-            state = ("queued", state[1], state[2], due, None)
+            state = ("queued", state[1], state[2], due, None, state[5])
             self.job.update(state)
             yield self.row(key, state, due)
         else:

@@ -3,7 +3,7 @@
 State per key is two numbers.  An event-time timer clears it once the watermark
 passes the end of the window: any later request would start a new window
 anyway, so idle callers cost nothing.  Within a micro-batch a key's requests
-are taken in time order; rows later than the watermark are dropped by the engine.
+are taken in time order; a request behind the watermark changes no window and comes out as ``late``, without a verdict.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from corpuscope.functions.text import millis
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT = ("key string, request_id long, bucket string, window_start_ms long, request_no long, "
-          "allowed boolean, retry_after_s long")
+          "allowed boolean, retry_after_s long, late boolean")
 
 
 class AnchoredWindow(StatefulProcessor):
@@ -41,18 +41,21 @@ class AnchoredWindow(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["ms", "request_id"])
         start, used = self.window.get() if self.window.exists() else (None, 0)
-        out = []
+        behind = batch["ms"] < timerValues.getCurrentWatermarkInMs()
+        out = [(key[0], int(i), bucket, None, None, None, None, True) for i, bucket in zip(batch["request_id"][behind], batch["bucket"][behind])]
+        batch = batch[~behind]
         for request_id, bucket, ms in zip(batch["request_id"], batch["bucket"], batch["ms"]):
             if start is None or ms - start >= self.window_ms:
                 start, used = int(ms), 0
             used += 1
             allowed = used <= self.limits[bucket]
             wait = None if allowed else max(1, (self.window_ms - (int(ms) - start) + 999) // 1000)
-            out.append((key[0], int(request_id), bucket, start, used, allowed, wait))
-        self.window.update((start, used))
-        self.handle.registerTimer(start + self.window_ms)
+            out.append((key[0], int(request_id), bucket, start, used, allowed, wait, False))
+        if start is not None:
+            self.window.update((start, used))
+            self.handle.registerTimer(start + self.window_ms)
         frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-        yield frame.astype({"retry_after_s": "Int64"})
+        yield frame.astype({"window_start_ms": "Int64", "request_no": "Int64", "allowed": "boolean", "retry_after_s": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()

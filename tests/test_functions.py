@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from corpuscope.functions import paths as PA
 from corpuscope.functions import text as TX
 from corpuscope.functions.languages import language_of
+from corpuscope.sources import readers
 
 
 @pytest.mark.parametrize("path,expected", [
@@ -31,7 +32,7 @@ def test_backend_path(one, path, expected):
     ("img/A.PNG", True), ("credentials", True), ("credentials.py", False),
 ])
 def test_ignored(one, path, ignored):
-    assert one(PA.is_ignored("p"), p=path) is ignored
+    assert one(PA.is_ignored("p"), p=path) is ignored and readers.ignored(path) is ignored
 
 
 @pytest.mark.parametrize("path,out", [("a/b", False), ("../a", True), ("a/../b", False), ("a/../../b", True), ("/a", True)])

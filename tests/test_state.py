@@ -15,7 +15,9 @@ from corpuscope.operators import hygiene as H
 from corpuscope.operators import jobs as J
 from corpuscope.operators import reading as RD
 from corpuscope.operators import retrieval as R
+from corpuscope.operators import transitions as TR
 from corpuscope.operators.ratelimit import rate_limit
+from corpuscope.operators.transitions import job_states
 
 START = dt.datetime(2024, 1, 1)
 
@@ -62,8 +64,8 @@ def _events(spark, rows):
 def test_job_life(spark):
     events = _events(spark, [(0, "enqueue", 0), (5, "claim", 0), (9, "heartbeat", 30), (10, "heartbeat", 40), (20, "fail", 0),
                              (50, "claim", 0), (81, "claim", 0), (90, "complete", 0), (95, "cancel", 0)])
-    for fold in (J.fold_job_events, J.replay_busy_jobs, lambda e: J.job_states(e, max_events=1)):
-        row = fold(events).first()
+    for partitions in (None, 1, 5):
+        row = job_states(events, partitions=partitions).first()
         assert (row.status, row.attempts, row.progress_percent) == ("ready", 2, 100)
         assert row.next_run_at == START + dt.timedelta(seconds=80)  # first retry after 60 s
 
@@ -71,12 +73,60 @@ def test_job_life(spark):
 def test_job_stale_and_cancel(spark):
     events = _events(spark, [(0, "enqueue", 0), (1, "claim", 0), (200, "heartbeat", 7), (400, "requeue", 0), (501, "requeue", 0),
                              (502, "cancel", 0), (503, "fail", 0)])
-    for fold in (J.fold_job_events, J.replay_busy_jobs):
-        row = fold(events).first()
+    for partitions in (None, 1, 5):
+        row = job_states(events, partitions=partitions).first()
         assert (row.status, row.attempts, row.progress_percent) == ("cancelled", 1, 7)
         assert row.next_run_at == START + dt.timedelta(seconds=501)
 
 
+KINDS = ("enqueue", "claim", "heartbeat", "complete", "cancel", "fail", "requeue")
+
+
+def _log(rng, n):
+    """Events with gaps around the lease and the backoff, some kinds rare."""
+    weights, ms, out = [rng.random() ** 3 for _ in KINDS], 0, []
+    weights[4] *= 0.1
+    for _ in range(n):
+        ms += rng.choice([0, 1000, 20_000, 60_000, 120_000, 300_000, 301_000, 400_000])
+        out.append((rng.choices(KINDS, weights)[0], ms, rng.randrange(100)))
+    return out
+
+
+def test_maps_of_runs_compose():
+    """A log cut anywhere and put together by its maps gives the state of the whole."""
+    rng, rules = random.Random(11), TR.Rules(3, 300)
+    for _ in range(800):
+        log, state, at = _log(rng, rng.randrange(1, 60)), TR.NONE, 0
+        while at < len(log):
+            run, pieces = log[at:at + rng.randrange(1, 12)], {}
+            for status, attempts, upto, after in TR.describe(rules, run):
+                pieces.setdefault((status, attempts), []).append((upto, after))
+            state, at = TR.follow(rules, pieces, state), at + len(run)
+        assert state == TR.fold(rules, log)
+
+
+def test_job_states_with_a_hot_job(spark):
+    """One job holds half of the log and spans many partitions."""
+    rng, rules = random.Random(12), TR.Rules(3, 300)
+    logs = {0: _log(rng, 3000)} | {j: _log(rng, rng.randrange(1, 60)) for j in range(1, 100)}
+    rows = [(j, i, START + dt.timedelta(milliseconds=ms), e, p if p % 9 else None) for j, log in logs.items() for i, (e, ms, p) in enumerate(log)]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "job_id long, event_id long, ts timestamp, event string, percent int").repartition(6)
+    base = int(START.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    want = {}
+    for j, log in logs.items():
+        status, attempts, progress, due, locked = TR.fold(rules, [(e, base + ms, p if p % 9 else 0) for e, ms, p in log])
+        want[j] = (status, attempts, progress, due, locked)
+
+    def milli(t):
+        return None if t is None else int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+    for partitions in (1, 40):
+        got = {r.job_id: (r.status, r.attempts, r.progress_percent, milli(r.next_run_at), milli(r.locked_at)) for r in job_states(frame, partitions=partitions).collect()}
+        assert got == want
+    assert job_states(frame.limit(0)).count() == 0
+
+
 def test_uploads_are_idempotent(spark):
     jobs = spark.createDataFrame([("j1", "p", "h", "ready", START), ("j2", "p", "h", "error", START + dt.timedelta(1))],
                                  "job_id string, project_id string, content_hash string, status string, created_at timestamp")
@@ -347,3 +397,28 @@ def test_second_of_two_writers_fails(spark, tmp_path):
         sinks.publish(spark, index, sinks.entries_of(projects, "v2"), projects, base)
     assert [r.version for r in sinks.read_manifest(spark, index).collect()] == ["v1"]
     assert sinks.read_index(spark, index, "files").count() == 0
+
+
+def test_late_rows_are_told(spark, tmp_path):
+    """Rows behind the watermark change nothing; requests come out as late, events are counted."""
+    from corpuscope.streaming.lifecycle import stream_job_states
+    from corpuscope.streaming.limiter import stream_rate_limit
+
+    def drain(name, schema, files, build, mode="update"):
+        for rows in files:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        seen = []
+        build(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))).writeStream.outputMode(mode) \
+            .foreachBatch(lambda batch, _: seen.extend(batch.collect())).option("checkpointLocation", str(tmp_path / f"{name}-ck")) \
+            .trigger(availableNow=True).start().awaitTermination()
+        return seen
+
+    at = lambda minutes: START + dt.timedelta(minutes=minutes)
+    files = [[(10 * n + i, "u", "CHAT", at(m)) for i, m in enumerate(minutes)] for n, minutes in enumerate(([0, 60, 120], [121, 5, 6], [130]))]
+    seen = drain("requests", "request_id long, caller string, bucket string, ts timestamp", files, stream_rate_limit, "append")
+    assert {r.request_id: (r.late, r.request_no) for r in seen} == {
+        0: (False, 1), 1: (False, 1), 2: (False, 1), 10: (False, 1), 20: (False, 1), 11: (True, None), 12: (True, None)}
+    files = [[(1, 0, at(0), "enqueue", 0), (1, 1, at(60), "claim", 0), (1, 2, at(62), "heartbeat", 5)], [(1, 3, at(3), "cancel", 0), (1, 4, at(63), "heartbeat", 9)]]
+    seen = drain("events", "job_id long, event_id long, ts timestamp, event string, percent int", files, stream_job_states)
+    last = max(seen, key=lambda r: r.at_ms)
+    assert (last.status, last.progress_percent, last.late_events) == ("processing", 9, 1)
