@@ -3,8 +3,8 @@
 ``repeats`` deals segments of text to shards so that equal windows meet in one. A shard's
 texts are laid one after another, earlier documents first, and sorted by suffix (prefix
 doubling, as deep as a window). For each suffix the nearest neighbours in suffix order that
-start earlier in the text (previous and next smaller position) hold its longest earlier match;
-the same over mirrored positions gives the longest later one.
+start earlier in the text (previous and next smaller position) hold its longest earlier match. Equal windows are a
+group, whose earliest place alone has no earlier match; it has a later one if the group has others.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ class SuffixOrder:
         while reach * 2 <= depth:
             self.ranks.append((reach * 2, self._joined(self.ranks[-1][1], reach)))
             reach *= 2
-        rank = self._joined(self.ranks[-1][1], depth - reach) if depth > reach else self.ranks[-1][1]
-        self.order = np.argsort(rank, kind="stable")
+        #: equal for suffixes that are equal to the depth
+        self.rank = self._joined(self.ranks[-1][1], depth - reach) if depth > reach else self.ranks[-1][1]
+        self.order = np.argsort(self.rank, kind="stable")
 
     def _joined(self, rank: np.ndarray, shift: int) -> np.ndarray:
         """Ranks ``shift`` symbols deeper; only suffixes that still have an equal are sorted."""
@@ -80,14 +81,13 @@ def nearest_smaller(values: np.ndarray) -> np.ndarray:
     return left
 
 
-def longest_previous(suffixes: SuffixOrder, mirrored: bool = False) -> np.ndarray:
-    """Length of the longest match of each position at an earlier (``mirrored``: later) one."""
+def longest_previous(suffixes: SuffixOrder) -> np.ndarray:
+    """Length of the longest match of each position at an earlier one."""
     order = suffixes.order
-    key = suffixes.size - order if mirrored else order
     out = np.zeros(suffixes.size, np.int64)
-    previous = nearest_smaller(key)
-    following = len(key) - 1 - nearest_smaller(key[::-1])[::-1]
-    for near, has in ((previous, previous >= 0), (following, following < len(key))):
+    previous = nearest_smaller(order)
+    following = len(order) - 1 - nearest_smaller(order[::-1])[::-1]
+    for near, has in ((previous, previous >= 0), (following, following < len(order))):
         i = order[has]
         out[i] = np.maximum(out[i], suffixes.common(i, order[near[has]]))
     return out
@@ -104,15 +104,16 @@ def suffix_windows(bodies: list[bytes], total: np.ndarray, first: np.ndarray, le
     owner = np.repeat(np.arange(len(bodies)), room)
     place = A.ranges(np.zeros(len(bodies), np.int64), room)
     at = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))[owner] + place
-    earlier, later = longest_previous(suffixes)[at] >= length, longest_previous(suffixes, True)[at] >= length
-    # the earliest place of each group of equal windows names the smallest doc_id
+    earlier = longest_previous(suffixes)[at] >= length
+    # the earliest place of each group of equal windows names the smallest doc_id, and only it has no earlier match
     text_of = np.repeat(np.arange(len(bodies)), sizes + 1)
-    order = suffixes.order
-    fresh = np.concatenate(([True], suffixes.common(order[1:], order[:-1]) < length))
-    lead = np.minimum.reduceat(order, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-    least = np.empty(suffixes.size, np.int64)
-    least[order] = first[text_of[lead]]
-    return owner, place, least[at], earlier | later | (total[owner] > 1)
+    order, rank = suffixes.order, suffixes.rank[suffixes.order]
+    start = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1])))
+    size = np.diff(np.append(start, len(order)))
+    lead, many = np.empty(suffixes.size, np.int64), np.empty(suffixes.size, bool)
+    lead[order], many[order] = np.repeat(np.minimum.reduceat(order, start), size), np.repeat(size > 1, size)
+    later = many[at] & (lead[at] == at)
+    return owner, place, first[text_of[lead[at]]], earlier | later | (total[owner] > 1)
 
 
 SPEC = Spec("bytes", WINDOW_BYTES, ANCHOR_BYTES, False, suffix_windows)
