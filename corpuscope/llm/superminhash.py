@@ -222,8 +222,8 @@ def text_buckets(texts: DataFrame) -> int:
 
 
 def signed_groups(docs: DataFrame, percent: int = 80, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component`` per row of ``docs``; the component (null for sets without
-    elements and null ids) is the smallest doc_id reachable.
+    """``doc_id, text_hash, n_shingles, component, component_class`` per row of ``docs``; the component (null for sets without
+    elements and null ids) is the smallest doc_id reachable, its class tells components of one id apart.
 
     Documents with equal sets are one class; classes are numbered in the order of their smallest doc_id. Classes that share a band bucket are
     candidates; they are verified in rounds against one center a bucket, and a pair whose ends
@@ -272,10 +272,10 @@ def signed_groups(docs: DataFrame, percent: int = 80, star_rounds: int = STAR_RO
         labels = components(edges)
     least_id = classes.select(F.col("id").alias("component_class"), F.col("doc_id").alias("component"))
     of_class = classes.select("fp1", "fp2", "n_shingles", "id").join(labels, "id", "left").select(
-        "fp1", "fp2", "n_shingles", F.coalesce("label", "id").alias("component_class")).join(least_id, "component_class").drop("component_class")
+        "fp1", "fp2", "n_shingles", F.coalesce("label", "id").alias("component_class")).join(least_id, "component_class")
     usable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return signed.drop("bands").join(of_class, ["fp1", "fp2", "n_shingles"], "left").select(
-        "doc_id", "text_hash", "n_shingles", F.when(usable, F.col("component")).alias("component"))
+        "doc_id", "text_hash", "n_shingles", *(F.when(usable, F.col(c)).alias(c) for c in ("component", "component_class")))
 
 
 def _rest(mixed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -330,13 +330,16 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     or with a null doc_id all stay.
     """
     groups = cut_lineage(signed_groups(docs, percent))
-    best = groups.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")).select(
-        F.col("best.doc_id").alias("k_id"), F.col("best.text_hash").alias("k_hash"), "component")
-    rows = groups.where("component IS NOT NULL").groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "component").agg(F.count("*").alias("k_rows"))
-    kept = rows.join(best, ["k_id", "k_hash", "component"]).select("k_id", "k_hash", "k_rows")
+    grouped = groups.where("component_class IS NOT NULL")
+    best = grouped.groupBy("component_class").agg(F.min(F.struct("doc_id", "text_hash")).alias("best")).select(
+        F.col("best.doc_id").alias("k_id"), F.col("best.text_hash").alias("k_hash"), "component_class")
+    rows = grouped.groupBy(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "component_class").agg(F.count("*").alias("k_rows"))
+    kept = rows.join(best, ["k_id", "k_hash", "component_class"]).select("k_id", "k_hash", "k_rows")
     alone = groups.where("component IS NULL").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), F.lit(1).cast("long").alias("k_rows")).distinct()
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.xxhash64("text") == F.col("k_hash"))
-    left = docs.join(kept.unionByName(alone), on)
-    once = left.where("k_rows = 1").select(docs.columns)
-    several = left.where("k_rows > 1").groupBy("k_id", "k_hash").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    kept = kept.unionByName(alone)
+    # columns by their table: those of docs may have any name
+    own = [docs[f"`{c}`"] for c in docs.columns]
+    left = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["k_id"]) & (F.xxhash64(docs["text"]) == kept["k_hash"]))
+    once = left.where(kept["k_rows"] == 1).select(*own)
+    several = left.where(kept["k_rows"] > 1).groupBy(kept["k_id"], kept["k_hash"]).agg(F.min(F.struct(*own)).alias("one")).select("one.*")
     return once.unionByName(several)

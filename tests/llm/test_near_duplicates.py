@@ -105,10 +105,10 @@ def test_rare_shingles_are_exact(spark):
 
 
 def test_keep_one_decides_by_row(spark):
-    a, b, c = prose(8, 90), prose(9, 90), prose(10, 90)
-    rows = [(5, a, "x"), (5, b, "x"), (3, b, "x"), (7, c, "s"), (7, c, "s"), (7, c, "r"), (8, edited(c.split(), 1, 1), "s"),
+    a, b, c, d, e = (prose(seed, 90) for seed in (8, 9, 10, 11, 12))
+    rows = [(20, d, "x"), (20, e, "x"), (21, d, "x"), (5, a, "x"), (5, b, "x"), (3, b, "x"), (7, c, "s"), (7, c, "s"), (7, c, "r"), (8, edited(c.split(), 1, 1), "s"),
             (None, a, "x"), (None, None, "x"), (9, None, "x"), (9, "", "x"), (10, "", "x"), (10, "", "x")]
     got = superminhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, component string"), 80)
     assert got.columns == ["doc_id", "text", "component"]
-    want = [(5, a, "x"), (3, b, "x"), (7, c, "r"), (None, a, "x"), (None, None, "x"), (9, None, "x"), (9, "", "x"), (10, "", "x"), (10, "", "x")]
+    want = [(20, d, "x"), (20, e, "x"), (5, a, "x"), (3, b, "x"), (7, c, "r"), (None, a, "x"), (None, None, "x"), (9, None, "x"), (9, "", "x"), (10, "", "x"), (10, "", "x")]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
