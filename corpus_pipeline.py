@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuscope.llm import decontaminate, packing, substrings, superminhash, toxicity
@@ -18,11 +18,22 @@ from corpuscope.session import ensure_checkpoint_dir, ship_package
 TOXIC_AT = 0.3
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and all other columns as one, so that none can clash with what an operator adds."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*(others or [F.lit(0).alias("none")])).alias("_rest"))
+
+
+def _back(frame: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` again, some of them changed."""
+    return frame.select(*(changed.get(c, F.col(c) if c in ("doc_id", "text") else F.col("_rest")[c]).alias(c) for c in docs.columns))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
     ship_package(spark)
-    scored = toxicity.score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored.where(F.col("score") < TOXIC_AT).select(docs.columns)
+    scored = toxicity.score_toxicity(_aside(docs), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _back(scored.where(F.col("score") < TOXIC_AT), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,10 +48,14 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document keeps its text as it is if nothing is cut; one left without words goes.
     """
     ship_package(spark)
-    cut = substrings.dedup_substrings(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col("text"))
-    left = cut.where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_units"))).withColumn("text", text)
-    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    cut = substrings.dedup_substrings(_aside(docs))
+    hit = F.col("n_removed") > 0
+    left = cut.where(~hit | (F.col("n_removed") < F.col("n_units")))
+    text = F.when(hit, F.col("kept").cast("string")).otherwise(F.col("text"))
+    changed = {"text": text}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(hit, F.char_length(text).cast("long")).otherwise(F.col("_rest")["n_chars"])
+    return _back(left, docs, **changed)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
