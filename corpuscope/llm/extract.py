@@ -44,12 +44,21 @@ NEGATIVE = frozenset(
     "trending widget widgets skip search copyright disclaimer legal outbrain taboola paywall tracking".split())
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond discussion".split())
 POSITIVE = frozenset("article body content entry main post story text blog page hentry prose".split())
+#: a header of these is the article's own, and a widget with any positive word may hold it
+OWN_HEADER = frozenset("article post entry story hentry".split())
+#: "has-sidebar" and its like describe a page, not the element
+MODIFIERS = r"(?i)(?<![a-z])(?:has|with|without|no)[-_]\w+"
+
+#: headings of what follows an article, in the languages of the corpus
+AFTERWORD = re.compile(r"\W*(\d+\s+)?(reader\s+|user\s+|your\s+)?(comments?|responses|replies|kommentare|commentaires|comentarios|leave a (reply|comment)"
+                       r"|related (articles|posts|stories|links))\W*(\d+\W*)?", re.I)
 
 POSITIVE_POINTS, ARTICLE_POINTS, MAIN_POINTS = 25, 50, 10
 START = {"article": ARTICLE_POINTS, "main": MAIN_POINTS, "div": 5, "section": 5, "pre": 3, "td": 3, "blockquote": 3,
          "address": -3, "ol": -3, "ul": -3, "dl": -3, "dd": -3, "dt": -3, "li": -3, "form": -3}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTAINERS = frozenset("article aside body center div dd details dl fieldset figure form header hgroup html main ol section table tbody td tfoot thead tr ul".split())
+BOXES = frozenset("div section ul ol dl td".split())
 #: blocks inside the article that may turn out to be lists of links
 LISTS = frozenset("ul ol dl div section table".split())
 
@@ -227,7 +236,7 @@ class Page:
         points = float(START.get(tag, -5 if tag in HEADINGS else 0))
         if tag in DROPPED or "hidden" in own or own.get("aria-hidden") == "true" or "style" in own and _HIDDEN.search(own["style"]):
             return HARD, points
-        names = f"{own.get('class', '')} {own.get('id', '')}"
+        names = re.sub(MODIFIERS, "", f"{own.get('class', '')} {own.get('id', '')}")
         words = {w.lower() for w in _TOKEN.findall(names)} if names.strip() else set()
         if words & COMMENTS:
             return HARD, points
@@ -237,8 +246,10 @@ class Page:
         if role in ROLES:
             return (HEADER if role == "banner" else HARD), points
         bad = words & NEGATIVE
+        if words & POSITIVE:
+            bad -= {"widget", "widgets"}
         if tag == "header" or bad == {"header"}:
-            return (0 if words & POSITIVE else HEADER), points
+            return (0 if words & OWN_HEADER else HEADER), points
         if tag in ("article", "main"):
             return (HARD if bad - {"header", "page"} and tag == "article" and not words & POSITIVE else 0), points
         if bad or tag == "form":
@@ -249,6 +260,10 @@ class Page:
 def _left_out(page: Page, soft: bool) -> list[bool]:
     """Which elements are no part of any article, with everything below them."""
     n = len(page.tag)
+    for node, text, _ in page.runs:  # a box of its own under such a heading
+        up = page.parent[node]
+        if page.tag[node] in HEADINGS and page.tag[node] != "h1" and page.tag[up] in BOXES and len(text) < 60 and AFTERWORD.fullmatch(text):
+            page.drop[up] = HARD
     holds = [False] * n  # an article, a main part or the title below
     for i in range(n - 1, 0, -1):
         if holds[i] or page.tag[i] in ("article", "main", "h1") and page.drop[i] != HARD:

@@ -53,6 +53,9 @@ def test_built_pages_come_back(wrap, sides, blocks):
     ("<body><div class='post'><p>Short.</p></div><div class='comments'>" + f"<p>{PROSE}</p>" * 9 + "</div></body>", "Short."),
     (f"<div class='article'><div class='article-header'><h1>Mine</h1></div><div class='article-body'><p>{PROSE}</p><p>{PROSE}</p></div></div>",
      f"Mine\n{PROSE.strip()}\n{PROSE.strip()}"),
+    (f"<div class='wrapper has-sidebar'><div class='page-header'>Site</div><div class='widget-post-content'><h2>T</h2><p>{PROSE}</p><p>{PROSE}</p></div>"
+     f"<div class='sidebar'><p>{PROSE}</p></div></div><div id='bottom'>Copyright</div>", f"T\n{PROSE.strip()}\n{PROSE.strip()}"),
+    (f"<div id=a><div id=b><h2>T</h2><p>{PROSE}</p><p>{PROSE}</p><section><h3>12 Comments:</h3><p>{PROSE * 5}</p></section></div></div>", f"T\n{PROSE.strip()}\n{PROSE.strip()}"),
     (f"<article><p>{PROSE}</p><ul><li><a href=a>See also this</a><li><a href=b>and that</a></ul></article>", PROSE.strip()),
 ])
 def test_pages(source, expected):
