@@ -21,7 +21,7 @@ from corpuscope import params as P
 from corpuscope.functions import grammar as G
 from corpuscope.functions.languages import SYMBOL_LANGUAGES
 from corpuscope.functions.text import is_blank, let, line_range, split_lines, token_estimate
-from corpuscope.operators.lines import lexed_files
+from corpuscope.operators.lines import file_tasks, lexed_files
 
 BLOCK_TYPE = "array<struct<start:int,end:int,kind:string,name:string,parent:string>>"
 
@@ -71,10 +71,11 @@ def structural_blocks(files: DataFrame, items: DataFrame, strict: bool = False)
     A gap without meaning is dropped; one outside any container is ``imports``
     when all of its lines are blank, comment headers or imports.
     """
-    lexed = lexed_files(files, strict).withColumn("pairs", F.arrays_zip("raw", "code"))
+    tasks = file_tasks(files)  # both sides of the join are dealt alike
+    lexed = lexed_files(files, strict, tasks).withColumn("pairs", F.arrays_zip("raw", "code"))
     per_file = (
         items.filter(F.col("item").isin("block", "gap"))
-        .repartition("file_id")
+        .repartition(*tasks, "file_id")
         .groupBy("file_id")
         .agg(F.array_sort(F.collect_list(F.struct(
             F.col("start_line").alias("start"), F.col("end_line").alias("end"),

@@ -20,7 +20,7 @@ from corpuscope.operators.lines import lex_once
 from corpuscope.operators.references import references_of
 from corpuscope.operators.symbols import structure, symbols_of
 from corpuscope.schemas import CHUNKS, FAILED_FILES, FILES, MANIFEST, REFERENCES, SYMBOLS
-from corpuscope.session import cut_lineage
+from corpuscope.session import stored
 
 SCHEMAS = {"files": FILES, "chunks": CHUNKS, "code_symbols": SYMBOLS, "code_references": REFERENCES, "failed_files": FAILED_FILES}
 #: tables of an indexed project; ``failed_files`` stands in for them where a project failed
@@ -119,7 +119,7 @@ def write_index(files: DataFrame, folder: str, version: str, strict: bool = Fals
     write_version(files.select(FILES.names), folder, "files", version)
     files = _stored(spark, folder, "files", version)
     lexed = lex_once(files, strict)
-    items = cut_lineage(structure(lexed, strict))
+    items = stored(structure(lexed, strict))
     embedded = {} if dim is None else {"dim": dim}
     write_version(symbols_of(items).select(SYMBOLS.names), folder, "code_symbols", version)
     write_version(references_of(lexed, items, strict).select(REFERENCES.names), folder, "code_references", version)
