@@ -54,3 +54,19 @@ def test_stored_rows_are_columns_on_disk(spark):
     path = jvm.org.apache.hadoop.fs.Path(folder.rsplit("/", 1)[0])
     size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
     assert size < 20000 * 20
+
+
+def test_scoped_requests_do_not_meet_the_project(spark):
+    """Of 300 requests for one name, each with a hit in its own file, none meets another file's declaration."""
+    from corpuscope.operators.graph import lookup_symbols
+
+    files = _files(spark, [("p", f"A{i}.java", "") for i in range(300)])
+    symbols = files.select("project_id", "file_id", F.lit("f").alias("name"), F.lit("method").alias("kind"), F.lit(None).cast("string").alias("parent_symbol"),
+                           F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), F.lit("").alias("signature"))
+    requests = files.select(F.col("path").alias("request_id"), "project_id", F.lit(" F ").alias("name"), F.col("path").alias("file_path"))
+    found = lookup_symbols(requests, symbols, files)
+    assert {(r.request_id, r.path) for r in found.collect()} == {(f"A{i}.java", f"A{i}.java") for i in range(300)}
+    joins = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "path" in joins and "scoped" not in joins
+    loose = lookup_symbols(requests.limit(1).withColumn("file_path", F.lit("none")).unionByName(requests.limit(1).withColumns({"request_id": F.lit(None).cast("string")})), symbols, files)
+    assert loose.groupBy("request_id").count().orderBy("request_id").collect()[0]["count"] == 300 and loose.count() == 600
