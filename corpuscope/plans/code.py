@@ -77,7 +77,8 @@ def _index(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _symbols(files: DataFrame) -> DataFrame:
-    return symbols_of(structure(lex_once(files)))
+    """Symbols, fixed once: several steps of an operator may read them."""
+    return symbols_of(stored(structure(lex_once(files))))
 
 
 def _references(files: DataFrame) -> DataFrame:
