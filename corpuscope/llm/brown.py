@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm import arrays as A
 from corpuscope.llm.toxicity import fold_of
-from corpuscope.session import cut_lineage
+from corpuscope.session import cut_lineage, dealt, stored
 
 #: occurrences from which on a word is clustered, whatever the size of the corpus
 FLOOR = 2
@@ -62,6 +62,7 @@ def _words(table: pa.Table):
 
 def _census(buckets: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        A.release()  # of the group before
         held = table["held"].to_numpy(zero_copy_only=False).astype(bool)
         parts = []
         for part, h, edges, tail in _words(table):
@@ -117,6 +118,7 @@ def _encode(floor: int):
     """Per block: tokens as places in the block's list of head words, or a tail class behind it."""
 
     def run(key: tuple[pa.Scalar, ...], docs: pa.Table, counts: pa.Table) -> pa.Table:
+        A.release()  # of the group before
         names = [f.split()[0] for f in ENCODED.split(", ")]
         out: dict = {c: b"" for c in names} | {"block": key[0].as_py(), "v": 0}
         if not docs.num_rows:
@@ -200,6 +202,7 @@ def _contexts(buckets: int, parity: int | None):
     """Per word in turn: counts of the classes before and after it in a block's training documents; and the block's class bigrams."""
 
     def run(key: tuple[pa.Scalar, ...], block: pa.Table, sent: pa.Table) -> pa.Table:
+        A.release()  # of the group before
         row = _block(block)
         order = _by_bucket(row["head"], buckets)
         of = _classes_of(order, sent)
@@ -288,6 +291,7 @@ def best_moves(places: np.ndarray, counts: np.ndarray, classes: np.ndarray, bigr
 
 def _moves(bigrams):
     def run(key: tuple[pa.Scalar, ...], state: pa.Table, counts: pa.Table) -> pa.Table:
+        A.release()  # of the group before
         if not counts.num_rows:
             return state
         words, classes = np.frombuffer(state["words"][0].as_py(), np.uint64), np.frombuffer(state["class"][0].as_py(), np.uint8)
@@ -342,7 +346,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, block_bytes: int = BLOCK_
     spread = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block").groupBy("block")
     census = spread.applyInArrow(_census(blocks), CENSUS)
     counted = census.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_count(floor), COUNTED)
-    encoded = cut_lineage(spread.cogroup(counted.groupBy("block")).applyInArrow(_encode(floor), ENCODED))
+    encoded = dealt(spread.cogroup(counted.groupBy("block")).applyInArrow(_encode(floor), ENCODED), "block", blocks)
 
     del spread, census, counted
     _free_shuffles(spark)
@@ -364,7 +368,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, block_bytes: int = BLOCK_
     def met(state, names, fn, schema):
         """``fn`` over each block with the classes of its words."""
         sent = state.mapInArrow(_deliver, DELIVERED).repartition(blocks, "block").groupBy("block")
-        return texts.select(names).repartition(blocks, "block").groupBy("block").cogroup(sent).applyInArrow(fn, schema)
+        return texts.select(names).groupBy("block").cogroup(sent).applyInArrow(fn, schema)
 
     texts = encoded.where("block >= 0")
     state = encoded.where("block < 0").select((-1 - F.col("block")).alias("bucket"), F.col("head").alias("words"), F.col("count").alias("counts"),
@@ -372,7 +376,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, block_bytes: int = BLOCK_
     context = spark.sparkContext
     needed = ["block", "held", "size", "symbols", "head"]
     for turn in range(rounds):  # half of the words at a time, so that neighbours do not swap for ever
-        stats = cut_lineage(met(state, needed, _contexts(blocks, turn % 2), CONTEXTS))
+        stats = stored(met(state, needed, _contexts(blocks, turn % 2), CONTEXTS))
         bigrams = summed(stats.where("bucket < 0"), "n", np.int64, WIDTH * WIDTH).reshape(WIDTH, WIDTH)
         counts = stats.where("bucket >= 0").repartition(blocks, "bucket").groupBy("bucket")
         state = cut_lineage(state.repartition(blocks, "bucket").groupBy("bucket").cogroup(counts).applyInArrow(_moves(context.broadcast(bigrams)), STATE))
@@ -396,6 +400,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, block_bytes: int = BLOCK_
     ends = tokens and float(np.log10(of_class[END] + 1))
 
     def score(key: tuple[pa.Scalar, ...], block: pa.Table, sent: pa.Table) -> pa.Table:
+        A.release()  # of the group before
         transition, mass, below = model.value
         row = _block(block)
         of = _classes_of(_by_bucket(row["head"], blocks), sent)

@@ -258,6 +258,12 @@ def test_exchange_finds_two_vocabularies():
     assert (classes == before).all() and moved.max() < brown.CLASSES
 
 
+def test_brown_moves_no_encoded_texts(spark):
+    rows = spark.createDataFrame([(i, f"one two w{i % 3} two three") for i in range(40)], "doc_id long, text string")
+    plan = brown.score_texts(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(block") == 1  # the classes alone go to the blocks
+
+
 def test_brown_clusters_rare_words_of_a_large_corpus(spark):
     fold = lambda i: zlib.crc32(str(i).encode()) % 7
     train, held = [i for i in range(2000) if fold(i) != 2], [i for i in range(2000) if fold(i) == 2]
