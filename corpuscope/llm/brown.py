@@ -13,16 +13,14 @@ counts of neighbouring classes back; only the class bigrams are broadcast.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuscope.llm import arrays as A
 from corpuscope.llm.toxicity import fold_of
-from corpuscope.session import cut_lineage, dealt, stored
+from corpuscope.session import cut_lineage, dealt, free_unused, stored
 
 #: occurrences from which on a word is clustered, whatever the size of the corpus
 FLOOR = 2
@@ -317,12 +315,6 @@ def _added(column: str, kind):
     return run
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete shuffles and checkpoints that nothing refers to; it does so after a collection on the driver."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def score_texts(docs: DataFrame, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES, floor: int = FLOOR) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row.
 
@@ -349,7 +341,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, block_bytes: int = BLOCK_
     encoded = dealt(spread.cogroup(counted.groupBy("block")).applyInArrow(_encode(floor), ENCODED), "block", blocks)
 
     del spread, census, counted
-    _free_shuffles(spark)
+    free_unused(spark)
 
     totals = encoded.where("block < 0").select("v", "types", "tokens")
     share = lambda c: lambda t: sum((np.frombuffer(x, np.int64).reshape(-1, TAILS).sum(axis=0) for x in t[c].to_pylist()), np.zeros(TAILS, np.int64))
@@ -381,7 +373,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, block_bytes: int = BLOCK_
         counts = stats.where("bucket >= 0").repartition(blocks, "bucket").groupBy("bucket")
         state = cut_lineage(state.repartition(blocks, "bucket").groupBy("bucket").cogroup(counts).applyInArrow(_moves(context.broadcast(bigrams)), STATE))
         del stats, counts
-        _free_shuffles(spark)
+        free_unused(spark)
     bigrams = summed(met(state, needed, _contexts(blocks, None), CONTEXTS), "n", np.int64, WIDTH * WIDTH).reshape(WIDTH, WIDTH).astype(float)
 
     def masses(batches):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from corpuscope.llm import arrays as A
 from corpuscope.llm.components import components
-from corpuscope.session import cut_lineage
+from corpuscope.session import cut_lineage, free_unused
 
 SHINGLE, PLACES = 5, 151
 #: 30 bands of 5 rows: a pair at 0.85 is missed with probability 2.3e-8, one at 0.8 with 6e-6
@@ -263,11 +263,13 @@ def signed_groups(docs: DataFrame, percent: int = 80, star_rounds: int = STAR_RO
         heads = marked.groupBy("bucket").agg(F.min(order).alias("head"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
         if turn < star_rounds:
             # every class meets the best center of its buckets that is in another component
-            picks = marked.join(heads.select("bucket", "head.*"), "bucket").where((F.col("label") != F.col("b_label")) & near)
-            pairs = picks.groupBy("id").agg(F.min_by("b", F.struct("own", "h")).alias("b")).select(F.col("id").alias("a"), "b")
+            pairs = marked.join(heads.select("bucket", "head.*"), "bucket").where((F.col("label") != F.col("b_label")) & near)
+            pairs = pairs.groupBy("id").agg(F.min_by("b", F.struct("own", "h")).alias("b")).select(F.col("id").alias("a"), "b")
         else:
             pairs = _rest(cut_lineage(marked.join(heads.select("bucket"), "bucket")), texts, percent)
         found = cut_lineage(verify(pairs, texts, percent))
+        del marked, heads, pairs
+        free_unused(docs.sparkSession)
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
     least_id = classes.select(F.col("id").alias("component_class"), F.col("doc_id").alias("component"))

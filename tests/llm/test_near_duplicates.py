@@ -112,3 +112,13 @@ def test_keep_one_decides_by_row(spark):
     assert got.columns == ["doc_id", "text", "component"]
     want = [(20, d, "x"), (20, e, "x"), (5, a, "x"), (3, b, "x"), (7, c, "r"), (None, a, "x"), (None, None, "x"), (9, None, "x"), (9, "", "x"), (10, "", "x"), (10, "", "x")]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_rounds_of_components_free_what_the_driver_holds(spark, monkeypatch):
+    from corpuscope.llm import components as module
+
+    freed, free = [], module.free_unused
+    monkeypatch.setattr(module, "free_unused", lambda session: (freed.append(1), free(session)))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    assert {r.label for r in module.components(edges).collect()} == {0}
+    assert len(freed) > 1
