@@ -70,3 +70,24 @@ def test_scoped_requests_do_not_meet_the_project(spark):
     assert "path" in joins and "scoped" not in joins
     loose = lookup_symbols(requests.limit(1).withColumn("file_path", F.lit("none")).unionByName(requests.limit(1).withColumns({"request_id": F.lit(None).cast("string")})), symbols, files)
     assert loose.groupBy("request_id").count().orderBy("request_id").collect()[0]["count"] == 300 and loose.count() == 600
+
+
+def test_entries_of_many_small_archives_leave_in_few_batches():
+    import io
+    import zipfile
+
+    import pyarrow as pa
+
+    from corpuscope.sources import readers
+
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as archive:
+        archive.writestr("src/a.py", "x" * 1000)
+        archive.writestr(".env", "secret")
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([str(i) for i in range(300)]), pa.array([held.getvalue()] * 299 + [b"no archive"])], names=["archive_id", "content"])
+    out = list(readers._entries(10_000)(iter([batch])))
+    assert len(out) == 1 and out[0].num_rows == 2 * 299 + 1
+    assert [r["size"] for r in out[0].slice(0, 2).to_pylist()] == [1000, 6] and out[0].to_pylist()[-1]["error"]
+    # large contents are handed on as they come
+    assert len(list(readers._entries(10_000)(iter([batch] * 40)))) > 1
