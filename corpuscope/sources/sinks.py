@@ -1,6 +1,6 @@
 """Index sinks (SRC-7 .. SRC-10): versioned tables behind a manifest.
 
-``<folder>/<table>/version=<v>/project_id=<p>/`` holds the rows that one write made and is never changed. The manifest
+``<folder>/<table>/version=<v>/`` holds the rows that one write made, projects side by side, and is never changed. The manifest
 names the version that counts for each project; ``manifests/<n>.published`` makes it current in one step. A write
 that fails leaves files that nothing refers to, and readers keep the index they had.
 """
@@ -101,8 +101,9 @@ def read_index(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 # -- writes -----------------------------------------------------------------------
 def write_version(df: DataFrame, folder: str, name: str, version: str) -> None:
-    """SRC-7: the rows of one table of a version. A project is a folder; a huge one is split over several tasks."""
-    df.hint("rebalance", "project_id").write.partitionBy("project_id").parquet(os.path.join(folder, name, f"version={version}"))
+    """SRC-7: the rows of one table of a version. Projects lie together and in order, so a reader of one skips the files and
+    row groups of others; files are as many as the bytes need, however many projects there are, and a huge project has several."""
+    df.hint("rebalance", "project_id").sortWithinPartitions("project_id").write.parquet(os.path.join(folder, name, f"version={version}"))
 
 
 def _stored(spark: SparkSession, folder: str, name: str, version: str) -> DataFrame:

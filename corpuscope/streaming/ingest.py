@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpuscope.operators.hygiene import archive_verdicts, keep_entries
-from corpuscope.session import cut_lineage
+from corpuscope.session import cut_lineage, stored
 from corpuscope.sources.readers import explode_archives, job_verdicts, source_files, split_failures
 from corpuscope.sources.sinks import entries_of, publish, published, read_manifest, write_index, write_version
 
@@ -38,7 +38,8 @@ def archive_files(blobs: DataFrame, **limits) -> DataFrame:
 
     A broken or rejected archive is one row without a path whose error names the reason.
     """
-    entries = explode_archives(blobs.select(F.concat_ws("/", "project_id", "archive_id").alias("archive_id"), "content"))
+    # written once: the verdicts read the sizes alone, and no archive is opened again for its contents
+    entries = stored(explode_archives(blobs.select(F.concat_ws("/", "project_id", "archive_id").alias("archive_id"), "content")))
     refused = archive_verdicts(entries, **limits).filter("rejected IS NOT NULL")
     kept = keep_entries(entries).join(refused.select("archive_id"), "archive_id", "left_anti")
     project = F.substring_index("archive_id", "/", 1).alias("project_id")
@@ -62,7 +63,7 @@ def index_batch(blobs: DataFrame, folder: str, batch: int | str | None = None, *
     # read by several writes; archives are small next to what indexing makes of them
     asked = taken.select(F.col("project_id").alias("p"), F.col("archive_id").alias("a"), F.col("uploaded_at").alias("u"))
     same = (F.col("project_id") == F.col("p")) & (F.col("archive_id") == F.col("a")) & F.col("uploaded_at").eqNullSafe(F.col("u"))
-    files = cut_lineage(archive_files(blobs.join(asked, same, "left_semi"), **limits))
+    files = stored(archive_files(blobs.join(asked, same, "left_semi"), **limits))
     good, failed = split_failures(files)
     verdicts = cut_lineage(job_verdicts(files))
     write_index(good.join(verdicts.where("verdict = 'ready'"), "project_id", "left_semi"), folder, version)
