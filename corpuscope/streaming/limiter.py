@@ -3,7 +3,7 @@
 State per key is two numbers.  An event-time timer clears it once the watermark
 passes the end of the window: any later request would start a new window
 anyway, so idle callers cost nothing.  Within a micro-batch a key's requests
-are taken in time order; a request behind the watermark changes no window and comes out as ``late``, without a verdict.
+are taken in time order; a request behind the watermark, or without a time, changes no window and comes out as ``late``, without a verdict.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -26,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT = ("key string, request_id long, bucket string, window_start_ms long, request_no long, "
           "allowed boolean, retry_after_s long, late boolean")
+_OUT = Row(*(c.split()[0] for c in OUTPUT.split(", ")))
 
 
 class AnchoredWindow(StatefulProcessor):
@@ -38,30 +38,34 @@ class AnchoredWindow(StatefulProcessor):
         self.handle = handle
         self.window = handle.getValueState("window", "start long, used long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ms", "request_id"])
-        start, used = self.window.get() if self.window.exists() else (None, 0)
-        behind = batch["ms"] < timerValues.getCurrentWatermarkInMs()
-        out = [(key[0], int(i), bucket, None, None, None, None, True) for i, bucket in zip(batch["request_id"][behind], batch["bucket"][behind])]
-        batch = batch[~behind]
-        for request_id, bucket, ms in zip(batch["request_id"], batch["bucket"], batch["ms"]):
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # most keys have a handful of requests a batch: plain rows, and as few calls to the state store as there can be
+        watermark = timerValues.getCurrentWatermarkInMs()
+        start, used = self.window.get() or (None, 0)
+        before = start, used
+        timely = []
+        for r in rows:
+            if r.ms is None or r.ms < watermark:
+                yield _OUT(key[0], r.request_id, r.bucket, None, None, None, None, True)
+            else:
+                timely.append((r.ms, r.request_id, r.bucket))
+        for ms, request_id, bucket in sorted(timely):
             if start is None or ms - start >= self.window_ms:
-                start, used = int(ms), 0
+                start, used = ms, 0
             used += 1
             allowed = used <= self.limits[bucket]
-            wait = None if allowed else max(1, (self.window_ms - (int(ms) - start) + 999) // 1000)
-            out.append((key[0], int(request_id), bucket, start, used, allowed, wait, False))
-        if start is not None:
+            wait = None if allowed else max(1, (self.window_ms - (ms - start) + 999) // 1000)
+            yield _OUT(key[0], request_id, bucket, start, used, allowed, wait, False)
+        if (start, used) != before:
             self.window.update((start, used))
+        if start != before[0]:  # one timer a window
             self.handle.registerTimer(start + self.window_ms)
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-        yield frame.astype({"window_start_ms": "Int64", "request_no": "Int64", "allowed": "boolean", "retry_after_s": "Int64"})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        due = expiredTimerInfo.getExpiryTimeInMs()
-        if self.window.exists() and self.window.get()[0] + self.window_ms <= due:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.window.get()
+        if held is not None and held[0] + self.window_ms <= expiredTimerInfo.getExpiryTimeInMs():
             self.window.clear()
-        yield pd.DataFrame()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -77,5 +81,5 @@ def stream_rate_limit(requests: DataFrame, limits: dict[str, int] | None = None,
         .select(F.concat_ws(":", F.col("caller").cast("string"), "bucket").alias("key"),
                 "request_id", "bucket", millis("ts").alias("ms"), "ts")
     )
-    return keyed.groupBy("key").transformWithStateInPandas(
+    return keyed.groupBy("key").transformWithState(
         AnchoredWindow(dict(limits), window_ms), OUTPUT, outputMode="Append", timeMode="EventTime")
