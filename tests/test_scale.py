@@ -91,3 +91,61 @@ def test_entries_of_many_small_archives_leave_in_few_batches():
     assert [r["size"] for r in out[0].slice(0, 2).to_pylist()] == [1000, 6] and out[0].to_pylist()[-1]["error"]
     # large contents are handed on as they come
     assert len(list(readers._entries(10_000)(iter([batch] * 40)))) > 1
+
+
+def test_calls_stay_with_their_file(spark, monkeypatch):
+    """Callers, callees and edges of random calls equal a plain count, with few names or none sent to all tasks, and no call moves for its list."""
+    import random
+
+    from corpuscope.operators import graph as G
+
+    rng = random.Random(5)
+    files = _files(spark, [("p" if i % 3 else "q", f"A{i}.java", "") for i in range(9)])
+    ids = {r.path: (r.project_id, r.file_id) for r in files.collect()}
+    declared = [(path, f"{'mM'[i % 2]}{i % 7}", 1 + 70 * i, 60 + 70 * i + 90 * (i % 2)) for path in ids for i in range(rng.randrange(1, 6))]
+    calls = [(path, rng.choice(["x.m1", "m2", "M3", "none", "m9", f"one{rng.randrange(99)}", "m5"]), rng.randrange(1, 400)) for path in ids for _ in range(60)]
+    symbols = spark.createDataFrame([(*ids[p], n, s, e) for p, n, s, e in declared], "project_id string, file_id string, name string, start_line int, end_line int")
+    refs = spark.createDataFrame([(*ids[p], None, n, "call", line, False) for p, n, line in calls] + [(*ids[calls[0][0]], None, "m1", "import", 1, False)],
+                                 "project_id string, file_id string, from_symbol string, to_name string, kind string, line int, is_dynamic boolean")
+    candidates = symbols.join(files.select("file_id", "path"), "file_id").withColumn("request_id", F.concat_ws("/", "project_id", "name"))
+
+    def key(name):
+        return name.split(".")[-1].lower()
+
+    n_declared = {}
+    for path, name, *_ in declared:
+        at = ids[path][0], key(name)
+        n_declared[at] = n_declared.get(at, 0) + 1
+    inside = sorted((f"{ids[p][0]}/{n}", p, s, to, line, n_declared.get((ids[p][0], key(to)), 0))
+                    for p, n, s, e in declared for q, to, line in calls if p == q and s <= line <= e)
+    for hot in (1, 5, 200_000):
+        monkeypatch.setattr(G, "HOT_NAMES", hot)
+        found = G.callees(candidates, refs, symbols)
+        assert "hashpartitioning(request_id" not in _plan(found)
+        starts = {(r.request_id, r.candidate): (r.path, r.start_line) for r in
+                  G.ranked(candidates, ["request_id"], ["path", "start_line", "end_line"], position="candidate").collect()}
+        got = found.collect()
+        assert sorted((r.request_id, *starts[r.request_id, r.candidate], r.to_name, r.line, r.candidates) for r in got) == inside
+        assert all(r.resolved == (r.candidates > 0) for r in got)
+        requests = candidates.select("request_id", "project_id", "name").distinct()
+        asked = {(r.request_id, r.project_id, key(r.name)) for r in requests.collect()}
+        want = sorted((i, p, line, to) for i, project, name in asked for p, to, line in calls if ids[p][0] == project and key(to) == name)
+        listed = G.callers(requests, refs, files).collect()
+        assert sorted((r.request_id, r.path, r.line, r.to_name) for r in listed) == want
+        by_request = {}
+        for r in sorted(listed, key=lambda r: (r.request_id, r.path, r.line, r.to_name)):
+            by_request.setdefault(r.request_id, []).append(r.position)
+        assert all(sorted(x) == list(range(1, len(x) + 1)) for x in by_request.values())
+        assert sorted((r.path, r.line, r.to_name, r.candidates) for r in G.call_edges(refs, symbols, files).collect()) == sorted(
+            (p, line, to, n_declared.get((ids[p][0], key(to)), 0)) for p, to, line in calls)
+
+
+def test_files_lexed_once_move_no_more(spark):
+    lexed = L.lex_once(_files(spark, [("p", f"A{i}.java", JAVA) for i in range(50)]))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    try:
+        plan = _plan(references_of(lexed, L.dealt_by_file(structure(lexed), L.file_tasks(lexed)[0])))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
