@@ -217,11 +217,16 @@ def chunks_from_blocks(
     )
 
 
-def chunk_files(files: DataFrame, items: DataFrame | None = None, strict: bool = False, lexed: DataFrame | None = None, **sizes) -> DataFrame:
-    """Chunks of all files: structural where the language allows (``lexed``: those files, lexed before), else paragraphs."""
+def chunk_files(files: DataFrame, items: DataFrame | None = None, strict: bool = False, lexed: DataFrame | None = None,
+                blocked: DataFrame | None = None, **sizes) -> DataFrame:
+    """Chunks of all files: structural where the language allows (``lexed``: those files, lexed before, or ``blocked``: those files with
+    their blocks), else paragraphs."""
     capable = F.col("language").isin(*SYMBOL_LANGUAGES)
     chunks = chunks_from_blocks(paragraph_blocks(files.filter(~capable)), **sizes)
-    if items is not None:
+    if blocked is not None:
+        lines = blocked.withColumn("lines", split_lines("content")).filter(F.size("lines") > 0).drop("content")
+        chunks = chunks.unionByName(chunks_from_blocks(lines, **sizes))
+    elif items is not None:
         chunks = chunks.unionByName(chunks_from_blocks(structural_blocks(files if lexed is None else lexed, items, strict), **sizes))
     return chunks
 
