@@ -76,3 +76,37 @@ def test_large_scans_leave_in_bounded_batches(monkeypatch):
     assert max(x.num_rows for x in out) == 100 and sum(x.num_rows for x in out) == 953
     rows = pa.Table.from_batches(out).to_pylist()
     assert {(r["path"], r["start_line"], r["name"]) for r in rows} == {("a.go", i + 1, "f") for i in range(950)} | {("b.go", i + 1, "g") for i in range(3)}
+
+
+def test_similar_names_gathers_no_postings_and_ranks_a_text_once(spark):
+    """Postings of names are many more than the names; neither they nor the lists of names may become a broadcast."""
+    from corpuscope.operators import graph as G
+    from corpuscope.operators import grams
+
+    names = [(f"p{i % 2}", f"Name{i}x{i % 7}") for i in range(200)]
+    symbols = spark.createDataFrame(names, "project_id string, name string")
+    asks = [(1, "p0", "ME1"), (2, "p0", "me1"), (3, "p1", "x3"), (3, "p1", "name1"), (3, "p0", "x3"), (4, "p0", "name4x4"), (5, "p1", ""), (6, "p1", "none"),
+            (None, "p1", "x5"), (7, "p1", "x5")]
+    requests = spark.createDataFrame(asks, "request_id int, project_id string, name string")
+    declared = {(p, n.lower()) for p, n in names}
+    want = set()
+    for i in {a[0] for a in asks}:
+        found = {n for j, p, text in asks if j == i and text and (p, text.lower()) not in declared for q, n in names if p == q and text.lower() in n.lower()}
+        want |= {(i, n, k) for k, n in enumerate(sorted(found), 1)}
+    for few in (grams.FEW, 0):
+        grams.FEW, before = few, grams.FEW
+        try:
+            out = G.similar_names(requests, symbols)
+            assert {tuple(r) for r in out.select("request_id", "name", "position").collect()} == want
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            first = G.similar_names(requests, symbols, 2)
+            assert {tuple(r) for r in first.select("request_id", "name", "position").collect()} == {r for r in want if r[2] <= 2}
+        finally:
+            grams.FEW = before
+        if not few:
+            assert "project_id" in plan and "BroadcastExchange HashedRelationBroadcastMode(List(input[0, string, true], input[1, string" not in plan
+    needles = spark.createDataFrame([("p0", "x3")], "project_id string, needle string")
+    texts = symbols.withColumn("low", F.lower("name"))
+    met = grams.containing(needles, texts, "project_id", "needle", "low")
+    joins = [line for line in met._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line]
+    assert joins and all("BuildRight" in line for line in joins) and met.count() == 14
