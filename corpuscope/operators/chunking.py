@@ -240,17 +240,19 @@ def hashing_model(dim: int = P.EMBED_DIM):
 
     def make_predict():
         import re
-        import zlib
+        from zlib import crc32
 
-        word = re.compile(r"[A-Za-z0-9_]+")
+        word = re.compile(rb"[A-Za-z0-9_]+")
 
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float32)
             for row, text in enumerate(texts):
-                words = word.findall((text or "").lower())
-                for token in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
-                    code = zlib.crc32(token.encode("utf-8"))
-                    out[row, code % dim] += 1.0 if code & 0x80000000 else -1.0
+                words = word.findall((text or "").lower().encode())
+                single = list(map(crc32, words))
+                # a pair's checksum goes on from its first word's
+                pairs = map(crc32, [b" " + w for w in words[1:]], single)
+                codes = np.array([*single, *pairs], dtype=np.int64)
+                out[row] = np.bincount(codes % dim, weights=np.where(codes & 0x80000000, 1.0, -1.0), minlength=dim)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return out / np.where(norms == 0, 1.0, norms)
 

@@ -110,3 +110,19 @@ def test_similar_names_gathers_no_postings_and_ranks_a_text_once(spark):
     met = grams.containing(needles, texts, "project_id", "needle", "low")
     joins = [line for line in met._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in line]
     assert joins and all("BuildRight" in line for line in joins) and met.count() == 14
+
+
+def test_hashed_vectors_are_sums_of_words_and_pairs():
+    import zlib
+
+    import numpy as np
+
+    rng = random.Random(3)
+    texts = ["", None, "Ä b_1 ÄB", "a"] + [" ".join(rng.choice(["foo", "Bar(a);", "x.y", "é9", "K", "\n"]) for _ in range(60)) for _ in range(20)]
+    got = C.hashing_model(48)()(np.array(texts, dtype=object))
+    for text, vector in zip(texts, got):
+        words, want = __import__("re").findall("[A-Za-z0-9_]+", (text or "").lower()), np.zeros(48, np.float32)
+        for token in words + [f"{a} {b}" for a, b in zip(words, words[1:])]:
+            code = zlib.crc32(token.encode())
+            want[code % 48] += 1.0 if code & 0x80000000 else -1.0
+        assert vector.dtype == np.float32 and np.array_equal(vector, want / (np.linalg.norm(want) or 1.0))
