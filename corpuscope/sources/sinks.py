@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuscope.operators.chunking import attach_embeddings, chunk_files
-from corpuscope.operators.lines import lex_once
 from corpuscope.operators.references import references_of
+from corpuscope.operators.scan import blocked_files, scan
 from corpuscope.operators.symbols import structure, symbols_of
 from corpuscope.schemas import CHUNKS, FAILED_FILES, FILES, MANIFEST, REFERENCES, SYMBOLS
 from corpuscope.session import stored
@@ -113,18 +113,19 @@ def _stored(spark: SparkSession, folder: str, name: str, version: str) -> DataFr
 def write_index(files: DataFrame, folder: str, version: str, strict: bool = False, dim: int | None = None) -> None:
     """All index tables of ``files`` under a version that is not published yet.
 
-    The files are written first and read back for the rest, so their source is read once. The
-    structural items are the small result of the expensive walk and feed three tables, so they are fixed once.
+    The files are written first and read back for the rest, so their source is read once. Their symbols and references are found in one
+    pass and fixed once; chunks get their blocks in a pass of their own, so no text is moved or stored for them.
     """
     spark = files.sparkSession
     write_version(files.select(FILES.names), folder, "files", version)
     files = _stored(spark, folder, "files", version)
-    lexed = lex_once(files, strict)
-    items = stored(structure(lexed, strict))
+    found = stored(scan(files, strict))
+    items = structure(found, strict)
     embedded = {} if dim is None else {"dim": dim}
     write_version(symbols_of(items).select(SYMBOLS.names), folder, "code_symbols", version)
-    write_version(references_of(lexed, items, strict).select(REFERENCES.names), folder, "code_references", version)
-    write_version(attach_embeddings(chunk_files(files, items, strict, lexed), **embedded).select(CHUNKS.names), folder, "chunks", version)
+    write_version(references_of(found, items, strict).select(REFERENCES.names), folder, "code_references", version)
+    chunks = chunk_files(files, strict=strict, blocked=blocked_files(files, strict))
+    write_version(attach_embeddings(chunks, **embedded).select(CHUNKS.names), folder, "chunks", version)
 
 
 def index_projects(files: DataFrame, folder: str, strict: bool = False, dim: int | None = None) -> str:

@@ -126,3 +126,26 @@ def test_hashed_vectors_are_sums_of_words_and_pairs():
             code = zlib.crc32(token.encode())
             want[code % 48] += 1.0 if code & 0x80000000 else -1.0
         assert vector.dtype == np.float32 and np.array_equal(vector, want / (np.linalg.norm(want) or 1.0))
+
+
+def test_an_index_is_written_without_rows_of_lines(spark, tmp_path, monkeypatch):
+    """Its texts are read by the scan alone; tables are those of the rules over lines."""
+    from corpuscope.operators import lines, symbols
+    from corpuscope.operators.symbols import symbols_of
+    from corpuscope.sources import sinks
+
+    files = _odd_files(spark, 60).filter("content IS NOT NULL")
+    lexed = lex_once(files)
+    items = structure(lexed).cache()
+    want = {"code_symbols": symbols_of(items).collect(), "code_references": references_of(lexed, items).collect(),
+            "chunks": C.chunk_files(files, items, lexed=lexed).select("chunk_id", "content", "start_line", "chunk_type").collect()}
+
+    def refused(*args, **more):
+        raise AssertionError("rows of lines")
+
+    for module in (lines, symbols):
+        monkeypatch.setattr(module, "lines_of", refused)
+    sinks.index_projects(files, str(tmp_path / "index"), dim=8)
+    for name, rows in want.items():
+        got = sinks.read_index(spark, str(tmp_path / "index"), name)
+        assert sorted(map(repr, got.select(*rows[0].asDict()).collect())) == sorted(map(repr, rows)), name
