@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,11 +21,17 @@ from pyspark.sql import types as T
 from corpuscope import params as P
 from corpuscope.functions import grammar as G
 from corpuscope.functions.languages import SYMBOL_LANGUAGES
-from corpuscope.functions.text import is_blank, let, line_range, split_lines, token_estimate
+from corpuscope.functions.text import WHITESPACE, is_blank, let, line_range, split_lines, token_estimate
 from corpuscope.operators.lines import file_tasks, lexed_files
+from corpuscope.operators.scan import BATCH_CHARS, File, capable, texts
 
 BLOCK_TYPE = "array<struct<start:int,end:int,kind:string,name:string,parent:string>>"
 
+PIECE_SCHEMA = (
+    "project_id string, file_id string, path string, seq int, content string, start_line int, end_line int, chunk_type string, "
+    "symbol string, parent_symbol string"
+)
+
 
 def _paragraph_ends(max_lines: int):
     """IDX-10: cut after a blank line or at ``max_lines``, never a lone line."""
@@ -165,7 +172,7 @@ def _plan_file(line_lengths, starts, ends, named, max_chars, min_chars, overlap)
     starts, ends = np.asarray(starts), np.asarray(ends)
     lengths = (total[ends] - total[starts - 1]).tolist()
     starts, ends = starts.tolist(), ends.tolist()
-    out = []
+    out: list[tuple] = []
     for first, last in _merge_blocks(lengths, starts, ends, list(named), max_chars, min_chars):
         start, end = starts[first], ends[last]
         if total[end] - total[start - 1] <= max_chars:
@@ -217,15 +224,55 @@ def chunks_from_blocks(
     )
 
 
+def _chunker(strict: bool, max_chars: int, min_chars: int, overlap: int):
+    max_chars = max(P.CHUNK_MAX_CHARS_FLOOR, max_chars)
+    min_chars = max(1, min(min_chars, max_chars))
+    overlap = max(0, overlap)
+    schema = pa.schema([(name, pa.int32() if kind == "int" else pa.string()) for name, kind in (c.split() for c in PIECE_SCHEMA.split(", "))])
+
+    def pieces(file: File) -> Iterator[tuple]:
+        blocks = file.blocks()
+        plan = _plan_file([len(line) for line in file.raw], [b["start"] for b in blocks], [b["end"] for b in blocks],
+                          [b["name"] is not None for b in blocks], max_chars, min_chars, overlap)
+        for seq, (first, last, start, end, part) in enumerate(plan):
+            content = "\n".join(file.raw[start - 1:end]) + "\n"
+            if content.strip(WHITESPACE):
+                group = blocks[first - 1:last]
+                kinds = {b["kind"] for b in group}
+                named = next((b for b in group if b["name"] is not None), {})
+                yield (seq, content, start, end, "part" if part else kinds.pop() if len(kinds) == 1 else "module", named.get("name"), named.get("parent"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, seen = [], 0
+        for (project, file_id, path, language), content in texts(batches):
+            for piece in pieces(File(content, language, strict)):
+                rows.append((project, file_id, path, *piece))
+                seen += len(piece[1])
+                if seen >= BATCH_CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, seen = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    return run
+
+
+def scanned_chunks(files: DataFrame, strict: bool = False, max_chars: int = P.CHUNK_MAX_CHARS, min_chars: int = P.CHUNK_MIN_CHARS,
+                   overlap_lines: int = P.CHUNK_OVERLAP_LINES) -> DataFrame:
+    """IDX-9, IDX-16 .. IDX-18 of the symbol-capable files where their text is read: blocks are found, merged, split and cut out in one pass."""
+    return capable(files).mapInArrow(_chunker(strict, max_chars, min_chars, overlap_lines), PIECE_SCHEMA).select(
+        "project_id", "file_id", "path", F.sha2(F.concat_ws(":", "file_id", F.col("seq").cast("string")), 256).alias("chunk_id"),
+        "content", "start_line", "end_line", "chunk_type", "symbol", "parent_symbol", token_estimate("content").alias("token_count"))
+
+
 def chunk_files(files: DataFrame, items: DataFrame | None = None, strict: bool = False, lexed: DataFrame | None = None,
-                blocked: DataFrame | None = None, **sizes) -> DataFrame:
-    """Chunks of all files: structural where the language allows (``lexed``: those files, lexed before, or ``blocked``: those files with
-    their blocks), else paragraphs."""
-    capable = F.col("language").isin(*SYMBOL_LANGUAGES)
-    chunks = chunks_from_blocks(paragraph_blocks(files.filter(~capable)), **sizes)
-    if blocked is not None:
-        lines = blocked.withColumn("lines", split_lines("content")).filter(F.size("lines") > 0).drop("content")
-        chunks = chunks.unionByName(chunks_from_blocks(lines, **sizes))
+                scanned: bool = False, **sizes) -> DataFrame:
+    """Chunks of all files: structural where the language allows (by ``items``, with ``lexed`` those files, lexed before; or ``scanned``
+    in one pass), else paragraphs."""
+    capable_ = F.col("language").isin(*SYMBOL_LANGUAGES)
+    chunks = chunks_from_blocks(paragraph_blocks(files.filter(~capable_)), **sizes)
+    if scanned:
+        chunks = chunks.unionByName(scanned_chunks(files, strict, **sizes))
     elif items is not None:
         chunks = chunks.unionByName(chunks_from_blocks(structural_blocks(files if lexed is None else lexed, items, strict), **sizes))
     return chunks

@@ -14,7 +14,7 @@ from corpuscope.operators import chunking as C
 from corpuscope.operators import graph as G
 from corpuscope.operators.lines import code_lines, lex_once, task_count
 from corpuscope.operators.references import references_of
-from corpuscope.operators.scan import blocked_files, scan, scan_once
+from corpuscope.operators.scan import scan, scan_once
 from corpuscope.operators.symbols import structure, symbols_of, with_depth
 from corpuscope.plans.derived import CODE_SQL, code_files, words_of
 from corpuscope.plans.registry import Tables, query
@@ -89,7 +89,7 @@ def _references(files: DataFrame) -> DataFrame:
 
 
 def _chunks(files: DataFrame) -> DataFrame:
-    return C.chunk_files(files, blocked=blocked_files(files))
+    return C.chunk_files(files, scanned=True)
 
 
 @query("code_symbols", f"WITH {SYMBOLS_SQL} SELECT path, name, kind, parent_symbol, start_line::INT AS start_line, end_line::INT AS end_line FROM symbols")

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from corpuscope.operators.chunking import attach_embeddings, chunk_files
 from corpuscope.operators.references import references_of
-from corpuscope.operators.scan import blocked_files, scan
+from corpuscope.operators.scan import scan
 from corpuscope.operators.symbols import structure, symbols_of
 from corpuscope.schemas import CHUNKS, FAILED_FILES, FILES, MANIFEST, REFERENCES, SYMBOLS
 from corpuscope.session import stored
@@ -114,7 +114,7 @@ def write_index(files: DataFrame, folder: str, version: str, strict: bool = Fals
     """All index tables of ``files`` under a version that is not published yet.
 
     The files are written first and read back for the rest, so their source is read once. Their symbols and references are found in one
-    pass and fixed once; chunks get their blocks in a pass of their own, so no text is moved or stored for them.
+    pass and fixed once; chunks are cut out in a pass of their own, so no text is moved or stored for them.
     """
     spark = files.sparkSession
     write_version(files.select(FILES.names), folder, "files", version)
@@ -124,7 +124,7 @@ def write_index(files: DataFrame, folder: str, version: str, strict: bool = Fals
     embedded = {} if dim is None else {"dim": dim}
     write_version(symbols_of(items).select(SYMBOLS.names), folder, "code_symbols", version)
     write_version(references_of(found, items, strict).select(REFERENCES.names), folder, "code_references", version)
-    chunks = chunk_files(files, strict=strict, blocked=blocked_files(files, strict))
+    chunks = chunk_files(files, strict=strict, scanned=True)
     write_version(attach_embeddings(chunks, **embedded).select(CHUNKS.names), folder, "chunks", version)
 
 

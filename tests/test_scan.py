@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpuscope.operators import chunking as C
 from corpuscope.operators.lines import files_from, lex_once
 from corpuscope.operators.references import references_of
-from corpuscope.operators.scan import blocked_files, scan, scan_once
+from corpuscope.operators.scan import scan, scan_once
 from corpuscope.operators.symbols import structure
 
 LINES = [
@@ -49,7 +49,9 @@ def test_a_scan_finds_what_rows_of_lines_do(spark, strict):
 
     same(items, structure(found))
     same(references_of(lexed, items, strict), references_of(found, structure(found)))
-    same(C.chunk_files(files, items, strict, lexed), C.chunk_files(files, blocked=blocked_files(files, strict)))
+    same(C.chunk_files(files, items, strict, lexed), C.chunk_files(files, strict=strict, scanned=True))
+    sizes = {"max_chars": 200, "min_chars": 60, "overlap_lines": 1}
+    same(C.chunk_files(files, items, strict, lexed, **sizes), C.chunk_files(files, strict=strict, scanned=True, **sizes))
 
 
 def test_a_scan_makes_no_row_a_line_and_moves_nothing(spark):
