@@ -151,3 +151,24 @@ def test_an_index_is_written_without_rows_of_lines(spark, tmp_path, monkeypatch)
     for name, rows in want.items():
         got = sinks.read_index(spark, str(tmp_path / "index"), name)
         assert sorted(map(repr, got.select(*rows[0].asDict()).collect())) == sorted(map(repr, rows)), name
+
+
+def test_requests_for_one_name_are_spread_over_tasks(spark):
+    """300 requests that have no hit in their file and ask for one name of one project are not left to one task."""
+    from corpuscope.operators import grams
+    from corpuscope.operators.graph import lookup_symbols
+
+    symbols = spark.createDataFrame([("p", f"f{i}", "Run", "method", None, i, i + 1, "") for i in range(5)],
+                                    "project_id string, file_id string, name string, kind string, parent_symbol string, start_line int, end_line int, signature string")
+    files = spark.createDataFrame([("p", f"f{i}", f"{i}.java") for i in range(5)], "project_id string, file_id string, path string")
+    requests = spark.range(300).select(F.col("id").alias("request_id"), F.lit("p").alias("project_id"), F.lit("run ").alias("name"), F.lit("none").alias("file_path"))
+    for few in (grams.FEW, 0):
+        grams.FEW, before = few, grams.FEW
+        try:
+            found = lookup_symbols(requests, symbols, files)
+            assert found.count() == 1500 and found.select("request_id", "path").distinct().count() == 1500
+            if few:
+                tasks = found.groupBy(F.spark_partition_id()).count().collect()
+                assert len(tasks) > 8 and max(r["count"] for r in tasks) < 300
+        finally:
+            grams.FEW = before
